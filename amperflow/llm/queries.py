@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op8_chunk_reuse_bpe
+from .pii import op4_boosted_pii
 from .secrets import op9_entropy_secrets
 from .shards import op10_feistel_shards
 
 QUERIES = {
+    "op4_boosted_pii": op4_boosted_pii,
     "op8_chunk_reuse_bpe": op8_chunk_reuse_bpe,
     "op9_entropy_secrets": op9_entropy_secrets,
     "op10_feistel_shards": op10_feistel_shards,
