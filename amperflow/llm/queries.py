@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op8_chunk_reuse_bpe
 from .decontaminate import ORACLE as DECONTAMINATE
 from .decontaminate import op3_containment_decontamination
+from .language import op7_recurrent_language
 from .pii import op4_boosted_pii
 from .secrets import op9_entropy_secrets
 from .shards import op10_feistel_shards
@@ -12,6 +13,7 @@ from .shards import op10_feistel_shards
 QUERIES = {
     "op3_containment_decontamination": op3_containment_decontamination,
     "op4_boosted_pii": op4_boosted_pii,
+    "op7_recurrent_language": op7_recurrent_language,
     "op8_chunk_reuse_bpe": op8_chunk_reuse_bpe,
     "op9_entropy_secrets": op9_entropy_secrets,
     "op10_feistel_shards": op10_feistel_shards,
