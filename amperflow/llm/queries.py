@@ -6,6 +6,7 @@ from .bpe import op8_chunk_reuse_bpe
 from .decontaminate import ORACLE as DECONTAMINATE
 from .decontaminate import op3_containment_decontamination
 from .language import op7_recurrent_language
+from .neardup import op5_circulant_neardup
 from .pii import op4_boosted_pii
 from .secrets import op9_entropy_secrets
 from .shards import op10_feistel_shards
@@ -13,6 +14,7 @@ from .shards import op10_feistel_shards
 QUERIES = {
     "op3_containment_decontamination": op3_containment_decontamination,
     "op4_boosted_pii": op4_boosted_pii,
+    "op5_circulant_neardup": op5_circulant_neardup,
     "op7_recurrent_language": op7_recurrent_language,
     "op8_chunk_reuse_bpe": op8_chunk_reuse_bpe,
     "op9_entropy_secrets": op9_entropy_secrets,
