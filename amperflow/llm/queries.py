@@ -9,10 +9,12 @@ from .language import op7_recurrent_language
 from .neardup import op5_circulant_neardup
 from .pii import op4_boosted_pii
 from .secrets import op9_entropy_secrets
+from .webtext import op1_wrapper_main_text
 from .substrings import op2_suffix_dedup
 from .shards import op10_feistel_shards
 
 QUERIES = {
+    "op1_wrapper_main_text": op1_wrapper_main_text,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_containment_decontamination": op3_containment_decontamination,
     "op4_boosted_pii": op4_boosted_pii,
