@@ -7,6 +7,7 @@ from .decontaminate import ORACLE as DECONTAMINATE
 from .decontaminate import op3_containment_decontamination
 from .language import op7_recurrent_language
 from .neardup import op5_circulant_neardup
+from .neighbours import op6_descent_search
 from .pii import op4_boosted_pii
 from .secrets import op9_entropy_secrets
 from .webtext import op1_wrapper_main_text
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_containment_decontamination": op3_containment_decontamination,
     "op4_boosted_pii": op4_boosted_pii,
     "op5_circulant_neardup": op5_circulant_neardup,
+    "op6_descent_search": op6_descent_search,
     "op7_recurrent_language": op7_recurrent_language,
     "op8_chunk_reuse_bpe": op8_chunk_reuse_bpe,
     "op9_entropy_secrets": op9_entropy_secrets,
