@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, table, written
 
-K, BACK, BLOCK, TABLES = 20, 16, 512, 3
+K, BACK, BLOCK, TABLES = 48, 32, 512, 3
 ROUNDS, STOP = 6, 0.02
-TOP, BEAM, HOPS = 10, 24, 6
+TOP, BEAM, HOPS = 10, 128, 8
 QUERY_EVERY = 100
 
 
@@ -194,6 +194,9 @@ def search(rows: DataFrame, queries: Column, top: int = TOP) -> DataFrame:
     # A class is known by a hash of its vector: ids of rows may repeat.
     nodes = written(classes.select(F.xxhash64("embedding").alias("id"), "embedding", "members"), "nodes")
     graph = neighbour_graph(nodes)
+    # Searched both ways: a node also knows the nearest of those that have it for a neighbour.
+    back = nearest(graph, "v", K).select(F.col("v").alias("u"), F.col("u").alias("v"))
+    graph = written(graph.select("u", "v").union(back).distinct(), "graph")
     asked = fine.where(queries).distinct()
     asked = written(asked.select(F.col("vec_id").alias("query"), F.xxhash64("embedding").alias("home"), F.col("embedding").alias("q")), "queries")
     points = nodes.select(F.col("id").alias("node"), F.col("embedding").alias("x"))
