@@ -27,10 +27,17 @@ def words_of(text: Column) -> Column:
 
 
 def shingle_hashes(words: Column, n: int) -> Column:
-    """Distinct hashes of the ``n``-word shingles of an array of words; empty where there are fewer."""
-    count = F.size(words) - n + 1
-    hashed = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))
-    return F.when(count > 0, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
+    """Distinct hashes of the ``n``-word shingles of an array of words; empty where there are fewer.
+
+    The words are bound once to a lambda's variable, so that the optimizer, wherever it moves this
+    expression, never has them computed again for every word.
+    """
+
+    def of(w: Column) -> Column:
+        hashed = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
+        return F.when(F.size(w) >= n, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
+
+    return F.get(F.transform(F.array(words), of), 0)
 
 
 def item_sets(items: DataFrame, n: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -68,15 +75,15 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = WORDS, threshold
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("key"), "text").where(F.length("text") > 0)
     result = None
     for k in sizes:  # 5, and the lengths of shorter items if there are any
-        hashes = shingle_hashes(words_of(F.col("text")), k)
+        with_sets = lambda df: df.withColumn("__own", shingle_hashes(words_of(F.col("text")), k))  # noqa: E731, B023
         sketch = sketches.where(F.col("n") == k).select("h")
-        hit = texts.select("doc_id", "key", F.explode(hashes).alias("h")).join(near(sketch), "h", "left_semi").select("doc_id", "key", "h").distinct()
+        hit = with_sets(texts).select("doc_id", "key", F.explode_outer("__own").alias("h")).join(near(sketch), "h", "left_semi").select("doc_id", "key", "h").distinct()
         # Only documents that share a sketch value come back with their whole sets.
         sets = items.where(F.col("n") == k).select("item_id", "q", "need", "hashes", F.explode("sketch").alias("h"))
         pairs = hit.join(near(sets) if small else sets, "h").select("doc_id", "key", "item_id", "q", "need", "hashes").dropDuplicates(["doc_id", "key", "item_id", "hashes"])
         own = texts.withColumnRenamed("doc_id", "own_id").withColumnRenamed("key", "own_key")
         checked = own.join(pairs, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("key")))
-        checked = checked.withColumn("n_shared", F.size(F.array_intersect("hashes", hashes)).cast("long"))
+        checked = with_sets(checked).withColumn("n_shared", F.size(F.array_intersect("hashes", "__own")).cast("long"))
         found = checked.where(F.col("n_shared") >= F.col("need")).select("doc_id", "item_id", F.col("q").cast("long").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment"))
         result = found if result is None else result.unionByName(found)
     if result is None:
@@ -102,18 +109,16 @@ def op3_containment_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 ORACLE = r"""
 WITH words AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark
+  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL
 ), item AS (
-  SELECT DISTINCT item_id, least(len(w), 5) AS n, list_distinct(list_transform(range(1, len(w) - least(len(w), 5) + 2), i -> array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s
-  FROM words WHERE len(w) > 0
-), shingle AS (SELECT item_id, n, len(s) AS q, unnest(s) AS g FROM item),
+  SELECT DISTINCT item_id, w, least(len(w), 5) AS n FROM words WHERE len(w) > 0
+), place AS (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM item),
+shingle AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM place),
+size AS (SELECT item_id, n, count(*) AS q FROM shingle GROUP BY item_id, n),
 doc AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents WHERE text IS NOT NULL
-), held AS (
-  SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' '))) AS g
-  FROM doc, (SELECT DISTINCT n FROM item) WHERE len(w) >= n
-), hits AS (
-  SELECT doc_id, item_id, any_value(q) AS n_item, count(DISTINCT g) AS n_shared FROM held JOIN shingle USING (n, g) GROUP BY doc_id, item_id
-)
-SELECT doc_id, item_id, n_item::BIGINT AS n_item, n_shared::BIGINT AS n_shared, n_shared::DOUBLE / n_item AS containment FROM hits WHERE n_shared * 100 >= n_item * 80
+  SELECT doc_id, n, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents, (SELECT DISTINCT n FROM item) WHERE text IS NOT NULL
+), held AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM doc WHERE len(w) >= n),
+grams AS (SELECT DISTINCT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM held),
+hits AS (SELECT doc_id, item_id, n, count(*) AS n_shared FROM grams JOIN shingle USING (n, g) GROUP BY doc_id, item_id, n)
+SELECT doc_id, item_id, q::BIGINT AS n_item, n_shared::BIGINT AS n_shared, n_shared::DOUBLE / q AS containment FROM hits JOIN size USING (item_id, n) WHERE n_shared * 100 >= q * 80
 """
