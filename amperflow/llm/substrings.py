@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, drop_written, table, written
+from .common import byte_slices, table, written
 from .shingles import mix
 from .suffixes import permuted_prefixes, suffix_array
 
@@ -93,18 +93,28 @@ def runs_of(data: np.ndarray, ends: np.ndarray):
     return text, start - ends[text], count, grams[spot], context, left, right
 
 
-#: ``x`` holds 40 bits of the context's hash and 12 of each side's; ``y`` the first window (34 bits), windows (6) and the text's hash (24).
-def pack_x(context: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return ((context >> U(24)) << U(24) | (left >> U(52)) << U(12) | right >> U(52)).view(np.int64)
+#: ``h`` holds 48 bits of the anchor's hash and 16 of its right side's; ``x`` 40 bits of the context's
+#: hash and 24 of the left side's; ``y`` the first window (30 bits), the number of windows (6), 24 bits
+#: of the text's hash (rows that share a doc_id are told apart by them) and 4 more of the right side's.
+OWN = (1 << 24) - 1
 
 
-def pack_y(first: np.ndarray, count: np.ndarray, own: np.ndarray) -> np.ndarray:
-    return (first.astype(np.uint64) << U(30) | count.astype(np.uint64) << U(24) | own.astype(np.uint64)).view(np.int64)
+def pack(first, count, own, gram, context, left, right):
+    h = (gram >> U(16)) << U(16) | right >> U(48)
+    x = (context >> U(24)) << U(24) | left >> U(40)
+    y = first.astype(np.uint64) << U(34) | count.astype(np.uint64) << U(28) | own.astype(np.uint64) << U(4) | (right >> U(44)) & U(15)
+    return h.view(np.int64), x.view(np.int64), y.view(np.int64)
 
 
 def unpack_y(y: np.ndarray):
+    """First window, number of windows, and the text's hash."""
     v = y.view(np.uint64)
-    return (v >> U(30)).astype(np.int64), ((v >> U(24)) & U(63)).astype(np.int64), (v & U((1 << 24) - 1)).astype(np.int64)
+    return (v >> U(34)).astype(np.int64), ((v >> U(28)) & U(63)).astype(np.int64), ((v >> U(4)) & U(OWN)).astype(np.int64)
+
+
+def own_of(y: str):
+    """The text's hash in a packed column."""
+    return F.shiftrightunsigned(y, 4).bitwiseAND(F.lit(OWN))
 
 
 def intervals(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,12 +141,15 @@ def by_document(doc: np.ndarray, own: np.ndarray, first: np.ndarray, count: np.n
         yield int(doc[a]), int(own[a]), np.stack([f, c], axis=1).reshape(-1)
 
 
-FOUND = "h long, x long, doc_id long, y long, spans array<long>"
+FOUND = "kind int, h long, x long, doc_id long, y long, spans binary"
+OPEN, RUN, SPANS, ASK = range(4)  # a run to be settled; one to be removed; merged intervals to be removed; a run that may share more
 
 
-def _batch(h, x, doc, y, spans=None) -> pa.RecordBatch:
-    spans = pa.nulls(len(h), pa.list_(pa.int64())) if spans is None else pa.array(spans, pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(x, pa.int64()), pa.array(doc, pa.int64()), pa.array(y, pa.int64()), spans], names=["h", "x", "doc_id", "y", "spans"])
+def _batch(kind: int, h, x, doc, y, spans=None) -> pa.RecordBatch:
+    n = len(doc)
+    column = lambda v: pa.array(np.zeros(n, np.int64) if v is None else v, pa.int64())
+    spans = pa.nulls(n, pa.binary()) if spans is None else pa.array(spans, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), column(h), column(x), column(doc), column(y), spans], names=["kind", "h", "x", "doc_id", "y", "spans"])
 
 
 def _settled(doc, own, first, count) -> pa.RecordBatch | None:
@@ -145,7 +158,7 @@ def _settled(doc, own, first, count) -> pa.RecordBatch | None:
         return None
     d, r, spans = zip(*rows, strict=True)
     d, r = np.array(d, np.int64), np.array(r, np.int64)
-    return _batch(mix(d.view(np.uint64) ^ r.view(np.uint64)).view(np.int64), np.zeros(len(d), np.int64), d, r, list(spans))
+    return _batch(SPANS, mix(d.view(np.uint64) ^ r.view(np.uint64)).view(np.int64), None, d, r << 4, [v.astype("<i8").tobytes() for v in spans])
 
 
 def local_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +178,10 @@ def local_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (done := _settled(doc[later], own[later], first[later], count[later])) is not None:
             yield done
         keep = ~later
-        x, y = pack_x(c[keep], left[keep], right[keep]), pack_y(first[keep], count[keep], own[keep])
-        h, doc = h[keep].view(np.int64), doc[keep]
+        doc = doc[keep]
+        h, x, y = pack(*(v[keep] for v in (first, count, own, h, c, left, right)))
         for a in range(0, len(h), 100_000):
-            yield _batch(h[a : a + 100_000], x[a : a + 100_000], doc[a : a + 100_000], y[a : a + 100_000])
+            yield _batch(OPEN, h[a : a + 100_000], x[a : a + 100_000], doc[a : a + 100_000], y[a : a + 100_000])
 
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -196,40 +209,41 @@ def _several(group: np.ndarray, inner: np.ndarray) -> np.ndarray:
 
 
 def settle_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, over rows sorted by anchor: settled spans, and requests (spans empty lists) for runs that may share more."""
+    """Step 2, over rows sorted by anchor: what can be removed, and requests for runs that may share more."""
     carry = None
 
     def groups(h, x, doc, y) -> Iterator[pa.RecordBatch]:
-        context, left, right = x >> np.int64(24), (x >> np.int64(12)) & np.int64(4095), x & np.int64(4095)
-        key = mix(h.view(np.uint64) ^ mix(context.view(np.uint64)))
+        gram, context, left = h >> np.int64(16), x >> np.int64(24), x & np.int64(OWN)
+        right = (h & np.int64(0xFFFF)) << np.int64(4) | y & np.int64(15)
+        key = mix(gram.view(np.uint64) ^ mix(context.view(np.uint64)))
         order = np.argsort(key, kind="stable")
         starts = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
         least = np.minimum.reduceat(doc[order], starts)
         low = np.empty(len(doc), np.int64)
         low[order] = np.repeat(least, np.diff(np.append(starts, len(order))))
-        first, count, own = unpack_y(y)
         later = doc > low
-        if (done := _settled(doc[later], own[later], first[later], count[later])) is not None:
-            yield done
-        live = ~later & _several(h, context)
-        h, context, left, right, doc, y = (v[live] for v in (h, context, left, right, doc, y))
-        if len(h):
-            hu = h.view(np.uint64)
-            ask = _several((mix(hu) + left.view(np.uint64)), context) | _several((~mix(hu) + right.view(np.uint64)), context)
-            ask &= _several(h, doc)
+        if later.any():
+            yield _batch(RUN, None, None, doc[later], y[later])
+        live = ~later & _several(gram, context)
+        gram, context, left, right, doc, y = (v[live] for v in (gram, context, left, right, doc, y))
+        if len(gram):
+            g = gram.view(np.uint64)
+            ask = _several(mix(g) + left.view(np.uint64), context) | _several(~mix(g) + right.view(np.uint64), context)
+            ask &= _several(gram, doc)
             if ask.any():
-                yield _batch(h[ask], np.zeros(int(ask.sum()), np.int64), doc[ask], y[ask], [[]] * int(ask.sum()))
+                yield _batch(ASK, gram[ask], None, doc[ask], y[ask])
 
     for batch in batches:
-        settled = np.asarray(batch.column("spans").is_valid())
-        if settled.any():
-            yield batch.filter(pa.array(settled))
-            batch = batch.filter(pa.array(~settled))
-        part = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        still = batch.column("kind").to_numpy() == OPEN
+        if not still.all():
+            yield batch.filter(pa.array(~still))
+            batch = batch.filter(pa.array(still))
+        part = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "x", "doc_id", "y")]
         part = [np.concatenate(v) for v in zip(carry, part, strict=True)] if carry else part
         if not len(part[0]):
             continue
-        last = int(np.searchsorted(part[0], part[0][-1]))  # the last anchor may go on in the next batch
+        gram = part[0] >> np.int64(16)
+        last = int(np.searchsorted(gram, gram[-1]))  # the last anchor may go on in the next batch
         carry = [v[last:] for v in part]
         if last:
             yield from groups(*(v[:last] for v in part))
@@ -297,33 +311,43 @@ def shard_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 4: what goes from each document, given flat lists of window intervals."""
+    """Step 4: what goes from each document, given packed runs and merged intervals of windows."""
     for batch in batches:
-        n, out = batch.num_rows, [[], [], [], []]
-        for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+        if not batch.num_rows:
+            continue
+        out: list[list] = [[], [], [], []]
+        for text, runs, spans in zip(batch.column("text"), batch.column("runs"), batch.column("spans"), strict=True):
             raw = text.as_py() or b""
-            flat = np.array([v for part in (spans.as_py() or []) for v in part], np.int64).reshape(-1, 2)
+            first, count, _ = unpack_y(runs.values.to_numpy(zero_copy_only=False) if runs.is_valid and len(runs) else np.empty(0, np.int64))
+            flat = np.frombuffer(b"".join(spans.as_py() or []), "<i8").reshape(-1, 2)
+            first, count = intervals(np.concatenate([first, flat[:, 0]]), np.concatenate([count, flat[:, 1]]) + LENGTH - 1)
             kept, at, removed = hashlib.sha256(), 0, 0
-            first, count = intervals(flat[:, 0], flat[:, 1] + LENGTH - 1)
             for a, c in zip(first.tolist(), count.tolist(), strict=True):
                 kept.update(raw[at:a])
                 at, removed = a + c, removed + c
             kept.update(raw[at:])
             for column, v in zip(out, (len(raw), removed, len(first), kept.hexdigest()), strict=True):
                 column.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) if n else batch
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(v, pa.int64()) for v in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """id, doc_id (null ones last), own, text as bytes."""
+    return docs.select(
+        F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64("text").bitwiseAND(F.lit(OWN)).alias("own"), F.col("text").cast("binary").alias("text")
+    )
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, own (24 bits of the text's hash), spans: lists of merged intervals of windows to remove."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), (F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1))).alias("own"), F.col("text").cast("binary").alias("text")).where(F.length("text") >= LENGTH)
-    runs = keyed.mapInArrow(local_runs, FOUND)
-    found = written(runs.repartition("h").sortWithinPartitions("h").mapInArrow(settle_anchors, FOUND), "anchors")
-    asks = found.where(F.size("spans") == 0).select("doc_id", F.col("y").bitwiseAND(F.lit((1 << 24) - 1)).alias("own"), F.struct("h", "y").alias("ask"))
+    """Rows of kind RUN and SPANS: what can be removed from which document."""
+    keyed = keyed_texts(docs).where(F.length("text") >= LENGTH).select("doc_id", "own", "text")
+    gram = F.shiftright("h", 16)
+    found = written(keyed.mapInArrow(local_runs, FOUND).repartition(gram).sortWithinPartitions("h").mapInArrow(settle_anchors, FOUND), "anchors")
+    asks = found.where(F.col("kind") == ASK).select("doc_id", own_of("y").alias("own"), F.struct("h", "y").alias("ask"))
     asks = asks.groupBy("doc_id", "own").agg(F.collect_list("ask").alias("asked"))
     pieces = keyed.join(asks, ["doc_id", "own"]).select("doc_id", "text", "asked").mapInArrow(contexts, "h long, doc_id long, y long, bytes binary")
     more = pieces.repartition("h").sortWithinPartitions("h").mapInArrow(shard_suffixes, FOUND)
-    return found.where(F.size("spans") > 0).unionByName(more).select("doc_id", F.col("y").alias("own"), "spans")
+    return found.where(F.col("kind").isin(RUN, SPANS)).unionByName(more)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -332,12 +356,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Null texts count as empty; texts under 50 bytes lose nothing. Rows that share a doc_id are not
     earlier than each other; null doc_ids come after all others. Repeated rows get equal results.
     """
-    spans = repeated_spans(docs).groupBy("doc_id", "own").agg(F.collect_list("spans").alias("spans"))
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"),
-        (F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1))).alias("own"), F.col("text").cast("binary").alias("text"),
-    )
-    both = keyed.join(spans, ["doc_id", "own"], "left").select("id", "text", "spans")
+    runs = repeated_spans(docs).groupBy("doc_id", own_of("y").alias("own")).agg(F.collect_list(F.when(F.col("kind") == RUN, F.col("y"))).alias("runs"), F.collect_list("spans").alias("spans"))
+    both = keyed_texts(docs).join(runs, ["doc_id", "own"], "left")
+    none = F.array().cast
+    both = both.select("id", "text", F.coalesce("runs", none("array<bigint>")).alias("runs"), F.coalesce("spans", none("array<binary>")).alias("spans"))
     return both.mapInArrow(removals, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
