@@ -268,7 +268,7 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_windows(data: np.ndarray, ends: np.ndarray, doc: np.ndarray, length: int = LENGTH):
     """(piece, first window, windows) of the windows in pieces of a buffer that a piece of a smaller doc has too."""
-    order = suffix_array(data)
+    order = suffix_array(data, length)
     shared = permuted_prefixes(data, order, length)
     piece = np.searchsorted(ends, np.arange(len(data)), side="right") - 1
     inside = np.arange(len(data)) + length <= ends[1:][piece]

@@ -76,8 +76,8 @@ def induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, size: int) -> np.
     return np.concatenate([[len(t) - 1], *out]) if out else np.array([len(t) - 1])
 
 
-def _order_names(names: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of a string of names, each rank taking in twice as many names."""
+def _order_names(names: np.ndarray, most: int) -> np.ndarray:
+    """Order of all suffixes of a string of names, by their first ``most`` names at least; each rank takes in twice as many names."""
     rank, n, width = names.astype(np.int64), len(names), 1
     while True:
         follow = np.zeros(n, np.int64)
@@ -86,13 +86,16 @@ def _order_names(names: np.ndarray) -> np.ndarray:
         order = np.argsort(key, kind="stable")
         new = np.empty(n, np.int64)
         new[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
-        if new.max() == n - 1 or width >= n:
+        if new.max() == n - 1 or 2 * width >= min(n, most):
             return order
         rank, width = new, width * 2
 
 
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Start positions of the suffixes of a byte array, ascending (a prefix precedes what it begins)."""
+def suffix_array(data: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Start positions of the suffixes of a byte array, ascending (a prefix precedes what it begins).
+
+    With ``most``, suffixes that agree on so many bytes may come in any order.
+    """
     n = len(data)
     if n == 0:
         return np.empty(0, np.int64)
@@ -126,7 +129,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         names = np.empty(len(lms), np.int64)
         names[k] = np.cumsum(~same)
         if names.max() < len(lms):
-            lms = lms[_order_names(names)]
+            lms = lms[_order_names(names, len(names) * 2 if most is None else most // 2 + 2)]  # a name covers two bytes at least
         else:
             lms = order
     return induce(t, s_type, lms, size)[1:]
@@ -141,12 +144,17 @@ def permuted_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndar
     before = np.empty(n, np.int64)
     before[order[1:]] = order[:-1]
     before[order[0]] = -1
+    # Eight bytes at a time; where they differ, the lowest differing byte ends the prefix.
+    padded = np.concatenate([data, np.zeros(most + 16, np.uint8)])
+    words = np.ndarray((n + most + 8,), "<u8", padded.tobytes(), strides=(1,)).copy()
     shared = np.zeros(n, np.int64)
     live = np.flatnonzero(before >= 0)
-    for step in range(most):
-        live = live[(live + step < n) & (before[live] + step < n)]
-        live = live[data[live + step] == data[before[live] + step]]
-        if not len(live):
-            break
-        shared[live] = step + 1
-    return shared
+    for step in range(0, most, 8):
+        x = words[live + step] ^ words[before[live] + step]
+        same = x == 0
+        other = x[~same]
+        lowest = np.frexp((other & (~other + np.uint64(1))).astype(np.float64))[1] - 1
+        shared[live[~same]] = step + (lowest >> 3)
+        live = live[same]
+        shared[live] = step + 8
+    return np.minimum(np.minimum(shared, most), np.where(before >= 0, n - np.maximum(np.arange(n), before), 0))
