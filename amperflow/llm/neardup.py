@@ -15,6 +15,8 @@ Pairs inside a component need no comparison, so a group of copies costs one comp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +99,12 @@ def may_link(x: str, y: str) -> Column:
     return (F.least(m, n) * DEN >= F.greatest(m, n) * NUM) & (apart * (DEN + NUM) <= (m + n) * (DEN - NUM))
 
 
+def first_met(x: str, y: str) -> Column:
+    """Whether two members of a bucket share no earlier one: a pair is told by its first bucket alone."""
+    band = F.col(f"{x}.band")
+    return reduce(and_, ((band <= k) | (F.get(F.col(f"{x}.bands"), k) != F.get(F.col(f"{y}.bands"), k)) for k in range(BANDS)))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets reach the similarity."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
@@ -120,7 +128,7 @@ def assign_groups(docs: DataFrame, n: int = 4) -> DataFrame:
     member = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     shared = member.groupBy("band", "value").agg(F.min("node").alias("lead"), F.count("*").alias("size")).where("size > 1").drop("size")
     member = written(member.join(shared, ["band", "value"]), "buckets")
-    info = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "least", "key", "n_shingles", "parity")
+    info = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "least", "key", "n_shingles", "parity", "bands")
     info = written(info, "candidates")
 
     # The full sets of nodes with a companion, from one document each.
@@ -138,11 +146,11 @@ def assign_groups(docs: DataFrame, n: int = 4) -> DataFrame:
     held = written(held, "held")
     parts = held.groupBy("band", "value", "root").agg(F.count("*").alias("size"))
     main = parts.groupBy("band", "value").agg(F.count("*").alias("parts"), F.max(F.struct("size", "root")).alias("main")).where("parts > 1")
-    open_ = held.join(main.select("band", "value", F.col("main.root").alias("main")), ["band", "value"]).join(info.select("node", "n_shingles", "parity"), "node")
+    open_ = held.join(main.select("band", "value", F.col("main.root").alias("main")), ["band", "value"]).join(info.select("node", "n_shingles", "parity", "bands"), "node")
     open_ = written(open_, "open")
     x, y = open_.where("root <> main").alias("x"), open_.alias("y")
     apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    more = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & apart & may_link("x", "y"))
+    more = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & apart & may_link("x", "y") & first_met("x", "y"))
     more = more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     found = components(links.union(verified(more, sets)))
 
