@@ -194,14 +194,27 @@ def segment_manifest(spark, sf_dir):
     return segment.manifest(segment.with_segments(samples(spark, sf_dir), rows=3))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Segments of every third row, with number and file name per cell and day."""
+    df = segment.with_segments(df, rows=3)
+    m = df.groupBy("series_id", "segment").agg(F.min("_seq").alias("first_seq"), F.min(F.to_date("ts")).alias("day")).withColumn("cell", F.col("series_id"))
+    return segment.numbered_files(m, "LOCAL", F.col("day")).select("series_id", "segment", "seq", "file")
+
+
 @query(f"""WITH {ISLANDS}, m AS (SELECT series_id, segment, min(_seq) AS first_seq, min(ts)::DATE AS day FROM q WHERE user_id < 20 GROUP BY series_id, segment)
 SELECT series_id, segment, (row_number() OVER (PARTITION BY lower(series_id), day ORDER BY first_seq))::BIGINT AS seq,
  'LOCAL__' || series_id || '__' || strftime(day, '%Y%m%d') || '_' || printf('%03d', row_number() OVER (PARTITION BY lower(series_id), day ORDER BY first_seq)) || '.bdf.csv' AS file FROM m""")
 def file_sequence_names(spark, sf_dir):
-    """Numbered file names per cell and day."""
-    df = segment.with_segments(samples(spark, sf_dir).where("user_id < 20"), rows=3)
-    m = df.groupBy("series_id", "segment").agg(F.min("_seq").alias("first_seq"), F.min(F.to_date("ts")).alias("day")).withColumn("cell", F.col("series_id"))
-    return segment.numbered_files(m, "LOCAL", F.col("day")).select("series_id", "segment", "seq", "file")
+    """Numbered file names per cell and day, of the series below 20."""
+    return numbered(samples(spark, sf_dir).where("user_id < 20"))
+
+
+@query(f"""WITH {ISLANDS}, m AS (SELECT series_id, segment, min(_seq) AS first_seq, min(ts)::DATE AS day FROM q GROUP BY series_id, segment)
+SELECT series_id, segment, (row_number() OVER (PARTITION BY lower(series_id), day ORDER BY first_seq))::BIGINT AS seq,
+ 'LOCAL__' || series_id || '__' || strftime(day, '%Y%m%d') || '_' || printf('%03d', row_number() OVER (PARTITION BY lower(series_id), day ORDER BY first_seq)) || '.bdf.csv' AS file FROM m""")
+def file_sequence_names_whole(spark, sf_dir):
+    """Numbered file names per cell and day, of all series."""
+    return numbered(samples(spark, sf_dir))
 
 
 SANITIZED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[<>:"/\\|?*\x00-\x1f]', '-', 'g'), '\s+', '-', 'g'), '_{{2,}}', '-', 'g'), '-{{2,}}', '-', 'g')"""

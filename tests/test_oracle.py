@@ -24,3 +24,11 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).limit(5).count() == 5
+
+
+def test_files_of_all_series(spark):
+    files = QUERIES["file_sequence_names_whole"](spark, SF)
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    series = {f"user-{r.user_id}" for r in events.select("user_id").distinct().collect()}
+    assert {r.series_id for r in files.select("series_id").distinct().collect()} == series
+    assert files.select("file").distinct().count() == files.count()
