@@ -280,11 +280,21 @@ def content_dedupe(spark, sf_dir):
     return f.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
+def items_and_orders(items: DataFrame, orders: DataFrame) -> DataFrame:
+    a = items.select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("q"))
+    return contract.union_ragged(a, orders.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p")))
+
+
 @query("SELECT l_orderkey AS k, l_quantity AS q, NULL::DOUBLE AS p FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT o_orderkey, NULL, o_totalprice FROM orders")
 def union_ragged(spark, sf_dir):
-    """Rows of different columns under the union of their columns."""
-    a = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("q"))
-    return contract.union_ragged(a, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p")))
+    """Rows of different columns under the union of their columns, of each order's first line."""
+    return items_and_orders(table(spark, sf_dir, "lineitem").where("l_linenumber = 1"), table(spark, sf_dir, "orders"))
+
+
+@query("SELECT l_orderkey AS k, l_quantity AS q, NULL::DOUBLE AS p FROM lineitem UNION ALL SELECT o_orderkey, NULL, o_totalprice FROM orders")
+def union_ragged_whole(spark, sf_dir):
+    """Rows of different columns under the union of their columns, of all lines."""
+    return items_and_orders(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
 
 
 @query(f"WITH {S}, n AS (SELECT _seq, series_id, row_number() OVER (PARTITION BY series_id ORDER BY _seq DESC) AS r FROM s) SELECT _seq, series_id FROM n WHERE r <= 5")

@@ -32,3 +32,8 @@ def test_files_of_all_series(spark):
     series = {f"user-{r.user_id}" for r in events.select("user_id").distinct().collect()}
     assert {r.series_id for r in files.select("series_id").distinct().collect()} == series
     assert files.select("file").distinct().count() == files.count()
+
+
+def test_union_of_all_lines(spark):
+    count = lambda name: spark.read.parquet(f"{SF}/{name}.parquet").count()
+    assert QUERIES["union_ragged_whole"](spark, SF).count() == count("lineitem") + count("orders")
