@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 GROUP = 64  # pages of a host that are aligned together, at most
+PART, MOST_LARGE = 4, 100_000  # such groups in a part of a large host; large hosts that are dealt into parts (the largest ones)
 CONSTANT_PAGES, CONSTANT_SHARE, COPY_SHARE = 5, 0.6, 0.5
 
 #: Elements of HTML by their part in the tree. Fixed values.
@@ -310,29 +311,65 @@ def main_texts(pages: list[str | None]) -> list[str]:
     return ["" if b is None else "\n\n".join(t for s, t in b if (s, t) not in fixed) for b in kept]
 
 
+def runs(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[pa.Table]:
+    """Rows (sorted by host and part) in runs of one host and part, whatever batches they come in.
+
+    A run has ``group`` rows; the last two share what is left of a part, so that none is short
+    but that of a part with no more.
+    """
+    held, of = None, None
+
+    def rest() -> Iterator[pa.Table]:
+        if held is not None and held.num_rows > group:
+            half = (held.num_rows + 1) // 2
+            yield held.slice(0, half)
+            yield held.slice(half)
+        elif held is not None and held.num_rows:
+            yield held
+
+    for batch in batches:
+        keys, a = list(zip(batch.column("host").to_pylist(), batch.column("part").to_pylist(), strict=True)), 0
+        while a < len(keys):
+            b = a + 1
+            while b < len(keys) and keys[b] == keys[a]:
+                b += 1
+            piece = pa.Table.from_batches([batch.slice(a, b - a)])
+            if keys[a] != of:
+                yield from rest()
+                held, of = piece, keys[a]
+            else:
+                held = pa.concat_tables([held, piece])
+            while held.num_rows >= 2 * group:
+                yield held.slice(0, group)
+                held = held.slice(group)
+            a = b
+    yield from rest()
+
+
 def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``.
 
-    Rows are ordered by host and, within it, by a hash of the row, and dealt out by range, so a
-    host with any number of pages is spread over tasks; up to ``group`` neighbours of one host are
-    aligned together. Null or empty html gives an empty text; a null url counts as a host of its own.
+    Pages of a host with more than ``PART`` runs of ``group`` are dealt by a hash of the row into
+    parts of about that size (as no part of so many pages is left with a few), other hosts are one
+    part. A part is in one task, in an order of its own, and up to ``group`` neighbours of it are
+    aligned together, so texts do not depend on partitions or batches. Null or empty html gives an
+    empty text and takes no place in a run; a null url counts as a host of its own.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), HOST, 1))
-    rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url").alias("salt"))
-    rows = rows.repartitionByRange("host", "salt").sortWithinPartitions("host", "salt", "page_id", "html")
+    blank = ~F.coalesce(F.col("html").rlike(r"\S"), F.lit(False))
+    most = PART * group
+    large = pages.where(~blank).groupBy(host.alias("host")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    large = large.orderBy(F.desc("n"), "host").limit(MOST_LARGE)
+    rows = pages.select("page_id", "url", "html", host.alias("host"), blank.alias("blank"), F.xxhash64("page_id", "url", "html").alias("salt")).join(F.broadcast(large), "host", "left")
+    part = F.when(F.col("blank"), -1 - F.pmod("salt", F.lit(1024))).otherwise(F.pmod("salt", F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("long")))
+    rows = rows.select("page_id", "url", "html", "host", part.alias("part"), "salt")
+    rows = rows.repartition("host", "part").sortWithinPartitions("host", "part", "salt", "page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, n, a = batch.column("host").to_pylist(), batch.num_rows, 0
-            texts: list[str] = []
-            source = batch.column("html")
-            while a < n:
-                b = a + 1
-                while b < n and b - a < group and hosts[b] == hosts[a]:
-                    b += 1
-                texts += main_texts(source.slice(a, b - a).to_pylist())
-                a = b
-            yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for rows in runs(batches, group):
+            texts = main_texts(rows.column("html").to_pylist())
+            ids, urls = rows.column("page_id").cast(pa.int64()).combine_chunks(), rows.column("url").combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 

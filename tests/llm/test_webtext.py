@@ -52,3 +52,21 @@ def test_nulls_and_empty(spark):
     got = sorted(((r.page_id, r.text) for r in W.extract(df).collect()), key=str)
     assert got == [(1, ""), (2, "Head 1\n\nx"), (2, "Head 1\n\nx"), (None, "")]
     assert W.extract(df.limit(0)).count() == 0
+
+
+def test_every_run_of_a_host_has_its_template(spark):
+    sizes = {"five": 5, "over": 65, "two": 129, "many": 300}
+    body = "<html><body><div>Site name</div><div><p>Story {k} begins here and goes on.</p></div><div>Read our terms.</div></body></html>"
+    rows = [(1000 * i + k, f"http://{h}/{k}", body.format(k=k)) for i, (h, n) in enumerate(sizes.items()) for k in range(n)]
+    rows += [(9000 + k, f"http://over/blank{k}", " ") for k in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {i: "" if i >= 9000 else f"Story {i % 1000} begins here and goes on." for i, _, _ in rows}
+    try:
+        for partitions, batch in (("1", "10000"), ("3", "67")):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            assert {r.page_id: r.text for r in W.extract(df).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
