@@ -122,7 +122,7 @@ def assign_groups(docs: DataFrame, n: int = 4) -> DataFrame:
     """
     rows = written(features(docs, n), "features")
     nodes = rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("parity").alias("parity"), F.min_by("key", F.struct("doc_id", "key")).alias("key")
+        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("parity").alias("parity"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key")
     )
     nodes = written(nodes, "nodes")
     member = nodes.select("node", F.posexplode("bands").alias("band", "value"))
@@ -131,8 +131,9 @@ def assign_groups(docs: DataFrame, n: int = 4) -> DataFrame:
     info = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "least", "key", "n_shingles", "parity", "bands")
     info = written(info, "candidates")
 
-    # The full sets of nodes with a companion, from one document each.
-    one = docs.select("doc_id", F.xxhash64("text").alias("__key"), "text").join(info.select(F.col("least").alias("doc_id"), F.col("key").alias("__key")), ["doc_id", "__key"], "left_semi")
+    # The full sets of nodes with a companion, from one document each (of a null doc_id where there is no other).
+    told = info.select(F.col("least").alias("__least"), F.col("key").alias("__told"))
+    one = docs.select("doc_id", F.xxhash64("text").alias("__key"), "text").join(told, F.col("doc_id").eqNullSafe(F.col("__least")) & (F.col("__key") == F.col("__told")), "left_semi")
     sets = written(sets_of(one, n).dropDuplicates(["node"]), "sets")
 
     stars = member.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()

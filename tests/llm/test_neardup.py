@@ -88,3 +88,13 @@ def test_one_of_each_stays(spark):
     assert sorted(got) == sorted(d for d, _ in want)
     assert {2000, 2001, 2002} <= {r.doc_id for r in kept.collect()}
     assert N.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_sets_of_null_ids(spark):
+    words = [f"w{k}" for k in range(80)]
+    alone, shared = " ".join(words), " ".join(reversed(words))
+    rows = [(None, alone), (1, alone + " more"), (None, shared.upper()), (2, shared), (3, shared + " more"), (None, shared + " and")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.assign_groups(df).collect()), key=str)
+    assert got == sorted(brute(rows), key=str)
+    assert [r.doc_id for r in N.drop_near_duplicates(df, 4).orderBy("doc_id").collect()] == [1, 2]
