@@ -25,13 +25,15 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={
 WINDOW = 20
 #: Bits that the best window of a candidate needs, by class.
 BITS = {"hex": 2.8, "one_case": 3.5, "mixed": 3.7}
+#: A short word or number: one case with or without digits, or a capitalised word. Mixed case with digits is neither.
+PART = "(?:[a-z0-9]{0,11}|[A-Z0-9]{0,11}|[A-Z][a-z]{1,10})"
 #: Allow list: digits alone, UUIDs, alphabets and counting, integrity hashes, paths and names of short parts.
 ALLOWED = [
     r"^[0-9/_+-]+=*$",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)abcdefgh|01234567|12345678|qwertyui",
     r"^sha(?:1|256|384|512)-",
-    r"^(?:[A-Za-z0-9]{0,11}[/_+-])+[A-Za-z0-9]{0,11}=*$",
+    rf"^(?:{PART}[/_+-])+{PART}=*$",
 ]
 KINDS, EXTRA = ("assign", "access", "hex"), "entropy"
 

@@ -69,3 +69,12 @@ def test_redaction_and_empty(spark):
     got = {r[0]: (r[1], r[2]) for r in S.redact_secrets(docs).collect()}
     assert got == {1: ("é [SECRET], [SECRET]", 20), 2: (None, 0), 3: ("clean", 77)}
     assert S.scan_secrets(docs.limit(0)).count() == 0 and S.redact_secrets(docs).columns == docs.columns
+
+
+def test_short_parts_of_random_tokens(spark):
+    found = ["k3Yd9Qx-ZbT4mW8s_Lq2Rv", "aB3x9Zk2Lm1_Qw8Er7Ty6", "Pz8-hV2kd7Qw_3nRt5Yb-Xc"]
+    names = ["a/path/of3/short/names/only/here1", "2024-01-31-backup-of-table-7", "MAX_ROWS_PER_FILE_V2_FINAL", "Main-Page/Some-Title-2024"]
+    docs = spark.createDataFrame(list(enumerate(found + names)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in S.scan_secrets(docs).collect()}
+    assert [k for k in sorted(got) if "entropy" in got[k]] == list(range(len(found)))
+    assert {r.text for r in S.redact_secrets(docs).collect()} == {"[SECRET]", *names}
