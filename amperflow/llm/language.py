@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 from .common import byte_slices, table
 
 UNITS, STEPS, BATCH, WIDTH = 8, 300, 192, 64
-#: Bounds of the training sample: documents per language, bytes taken of each, languages.
-SAMPLE_DOCS, SAMPLE_BYTES, MOST_LANGUAGES = 400, 1024, 64
+#: Bounds of the training sample: documents per language, bytes taken of each.
+SAMPLE_DOCS, SAMPLE_BYTES = 400, 1024
+#: Languages up to which the steps are enough; with more of them steps grow, and batches of windows shrink, in proportion.
+LANGUAGES = 64
 UNKNOWN = "und"
 
 
@@ -143,6 +145,7 @@ class Network:
     def documents(self, data: np.ndarray, ends: np.ndarray, rows: int = 1024) -> np.ndarray:
         """Mean probabilities over all byte positions of each text in a buffer (uniform for empty ones)."""
         n, k = len(ends) - 1, len(self.languages)
+        rows = max(1, rows * LANGUAGES // max(k, LANGUAGES))
         sizes = np.diff(ends)
         count = -(-sizes // WIDTH)
         doc = np.repeat(np.arange(n), count)
@@ -164,20 +167,18 @@ class Network:
 
 def labelled_windows(docs: DataFrame, languages: list[str], counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Byte windows and labels of a bounded sample: about 400 documents a language, 1,024 characters of each from a place set by its hash."""
-    share = F.lit(0.0)
-    for lang in languages:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_DOCS / counts[lang]))).otherwise(share)
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, SAMPLE_DOCS / counts[lang])) for lang in languages], "lang string, __share double")
     h = F.xxhash64("doc_id", "text")
-    taken = docs.where(F.pmod(h, F.lit(1_000_003)) / 1_000_003.0 < share)
+    taken = docs.join(F.broadcast(shares), "lang").where(F.pmod(h, F.lit(1_000_003)) / 1_000_003.0 < F.col("__share"))
     room = F.greatest(F.length("text") - SAMPLE_BYTES, F.lit(0)) + 1
     rows = taken.select("lang", F.substring(F.col("text"), F.pmod(F.xxhash64("text"), room).cast("int") + 1, F.lit(SAMPLE_BYTES)).alias("part")).limit(4 * SAMPLE_DOCS * len(languages)).collect()
-    windows, labels = [], []
+    windows, labels, place = [], [], {lang: k for k, lang in enumerate(languages)}
     for lang, part in sorted((r.lang, r.part) for r in rows):
         raw = np.frombuffer(part.encode(), np.uint8)
         for a in range(0, len(raw), WIDTH):
             w = raw[a : a + WIDTH]
             windows.append(np.pad(w, (0, WIDTH - len(w))))
-            labels.append(languages.index(lang))
+            labels.append(place[lang])
     return np.array(windows, np.uint8).reshape(-1, WIDTH), np.array(labels, np.int64)
 
 
@@ -189,7 +190,7 @@ def held_out() -> Column:
 def train_on(docs: DataFrame) -> Network:
     """A network trained on rows that have text with letters, a lang, and are not held out."""
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     languages = sorted(counts)
     net = Network(languages)
     if len(languages) > 1:
@@ -199,7 +200,7 @@ def train_on(docs: DataFrame) -> Network:
             net = Network([languages[k] for k in present])
             y = np.searchsorted(present, y)
         if len(present) > 1:
-            net.train(windows, y)
+            net.train(windows, y, STEPS * max(1, -(-len(present) // LANGUAGES)))
     return net
 
 

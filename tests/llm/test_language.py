@@ -69,3 +69,13 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in L.predict(df, L.train_on(df)).collect()] == [("und", 0.0)]
     assert L.predict(df.limit(0), L.train_on(df.limit(0))).count() == 0
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(L, "STEPS", 2)
+    rows = [(5 * k + j, chr(0x4E00 + k) * 9, f"l{k:03d}") for k in range(70) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
+    net = L.train_on(df)
+    assert len(learned) > 64 and set(net.languages) == learned
+    assert {r.lang_pred for r in L.predict(df, net).collect()} <= learned
