@@ -23,6 +23,7 @@ K, BACK, BLOCK, TABLES = 48, 32, 512, 3
 ROUNDS, STOP = 6, 0.02
 TOP, BEAM, HOPS = 10, 128, 8
 QUERY_EVERY = 100
+FAR = 1e15  # scaled components end here: squares stay finite in single precision
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def nearest(edges: DataFrame, by: str, k: int) -> DataFrame:
 
 def _decode(column: pa.Array) -> np.ndarray:
     raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), np.float16).reshape(len(raw), -1).astype(np.float32)
+    return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)
 
 
 def _squares(x: np.ndarray) -> np.ndarray:
@@ -128,18 +129,22 @@ def join_neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Edges (u, v, d) to about the K nearest nodes of each node (id, embedding)."""
     spark = nodes.sparkSession
-    scale = nodes.agg(F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x))))).first()[0] or 1.0
+    # Scaled by the median of vectors' largest components: no one vector sets the scale of the others.
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
+    scale = nodes.agg(F.percentile_approx(largest, F.lit(0.5))).first()[0] or 1.0
 
-    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = (np.array(batch.column("embedding").to_pylist(), np.float64).reshape(batch.num_rows, -1) / scale * 16).astype(np.float16)
+            x = np.array(batch.column("embedding").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            with np.errstate(over="ignore"):
+                x = np.clip(x / scale, -FAR, FAR).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "vec"])
 
-    small = written(nodes.select("id", "embedding").mapInArrow(halves, "id long, vec binary"), "halves")
+    small = written(nodes.select("id", "embedding").mapInArrow(singles, "id long, vec binary"), "singles")
     n = small.count()
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK))))
     # Planes half-way between sampled nodes: a bounded sample, by hash.
-    sample = [np.frombuffer(r.vec, np.float16).astype(np.float32) for r in small.orderBy(F.xxhash64("id"), "id").limit(2 * TABLES * (bits + 1)).collect()]
+    sample = [np.frombuffer(r.vec, np.float32) for r in small.orderBy(F.xxhash64("id"), "id").limit(2 * TABLES * (bits + 1)).collect()]
     size, edges = len(sample[0]) if sample else 1, None
     for t in range(TABLES if bits else 1):
         part = sample[2 * t * (bits + 1) : 2 * (t + 1) * (bits + 1)]

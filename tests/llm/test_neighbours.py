@@ -56,3 +56,13 @@ def test_few_and_none(spark):
     assert run(spark, [(0, [1.0, 2.0])]) == {}
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert N.search(df, F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_one_far_vector_leaves_the_others_apart(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((2000, 16)).astype(np.float32)
+    x[7] *= 1e9
+    rows = list(enumerate(x))
+    want, got = brute(rows), run(spark, rows)
+    hits = [len({i for i, _ in got.get(q, [])} & {i for i, _ in want[q]}) for q in want]
+    assert sum(hits) / (10 * len(want)) >= 0.9
