@@ -79,3 +79,12 @@ def test_every_language_is_learned(spark, monkeypatch):
     net = L.train_on(df)
     assert len(learned) > 64 and set(net.languages) == learned
     assert {r.lang_pred for r in L.predict(df, net).collect()} <= learned
+
+
+def test_stage_keeps_text_where_nothing_is_learned(spark):
+    rows = [(1, "some text", None), (2, "more", None), (3, "12 %", None), (4, None, None), (5, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [r.doc_id for r in L.keep_identified(df).orderBy("doc_id").collect()] == [1, 2]
+    assert [r.doc_id for r in L.keep_identified(df, 0.5).orderBy("doc_id").collect()] == [1, 2]
+    named = df.withColumn("lang", L.F.lit("und"))
+    assert [r.doc_id for r in L.keep_identified(named).orderBy("doc_id").collect()] == [1, 2]
