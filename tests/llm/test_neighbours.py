@@ -66,3 +66,23 @@ def test_one_far_vector_leaves_the_others_apart(spark):
     want, got = brute(rows), run(spark, rows)
     hits = [len({i for i, _ in got.get(q, [])} & {i for i, _ in want[q]}) for q in want]
     assert sum(hits) / (10 * len(want)) >= 0.9
+
+
+def test_rounds_of_descent_find_what_blocks_missed(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 128)
+    monkeypatch.setattr(N, "TABLES", 3)
+    rng = np.random.default_rng(8)
+    centres = 3 * rng.standard_normal((40, 24))
+    x = (centres[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 24))).astype(np.float32) + 1000  # a common offset
+    rows = list(enumerate(x))
+    want, got = brute(rows), run(spark, rows)
+    hits = [len({i for i, _ in got.get(q, [])} & {i for i, _ in want[q]}) for q in want]
+    assert sum(hits) / (10 * len(want)) >= 0.9
+
+
+def test_queries_of_one_vector_are_one_search(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1200, 8)).astype(np.float32)
+    x[::3] = x[0]
+    rows = list(enumerate(x))
+    assert {q: v for q, v in run(spark, rows).items() if q % 300 == 0} == {q: v for q, v in brute(rows).items() if q % 300 == 0}
