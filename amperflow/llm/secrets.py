@@ -10,11 +10,13 @@ suppresses what is known to look random and is no secret.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .spans import away_from, marks, redacted, with_spans
+from .spans import away_from, bound, marks, redacted, with_spans
 
 #: Base patterns. Fixed values.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -26,36 +28,55 @@ WINDOW = 20
 #: Bits that the best window of a candidate needs, by class.
 BITS = {"hex": 2.8, "one_case": 3.5, "mixed": 3.7}
 #: A short word or number: one case with or without digits, or a capitalised word. Mixed case with digits is neither.
-PART = "(?:[a-z0-9]{0,11}|[A-Z0-9]{0,11}|[A-Z][a-z]{1,10})"
-#: Allow list: digits alone, UUIDs, alphabets and counting, integrity hashes, paths and names of short parts.
+PART = "^(?:[a-z0-9]{0,11}|[A-Z0-9]{0,11}|[A-Z][a-z]{1,10})$"
+#: Allow list: digits alone, UUIDs, alphabets and counting, integrity hashes. Paths and names of short parts follow in :func:`allowed`.
 ALLOWED = [
-    r"^[0-9/_+-]+=*$",
+    r"^[0-9/_+-]++$",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)abcdefgh|01234567|12345678|qwertyui",
     r"^sha(?:1|256|384|512)-",
-    rf"^(?:{PART}[/_+-])+{PART}=*$",
 ]
 KINDS, EXTRA = ("assign", "access", "hex"), "entropy"
 
 
+def allowed(core: Column) -> Column:
+    """Whether a candidate (without its padding) is on the allow list; parts are tested one by one, in no expression that recurses."""
+    listed = F.lit(False)
+    for rule in ALLOWED:
+        listed = listed | core.rlike(rule)
+    parts = F.split(core, "[/_+-]")
+    return listed | (core.rlike("[/_+-]") & F.forall(parts, lambda p: p.rlike(PART)))
+
+
 def best_entropy(s: Column) -> Column:
-    """The largest Shannon entropy (bits per character) of any window of 20 characters, by incremental counts."""
-    codes = F.transform(F.split(s, ""), lambda c: F.ascii(c) - 42)  # '+' is 1, 'z' is 80
-    gain = lambda c: F.when(c > 1, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(0.0)
-    start = F.struct(F.array_repeat(F.lit(0), 81).alias("c"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    """The largest Shannon entropy (bits per character) of any window of 20 characters, by incremental counts.
+
+    ``s`` is ASCII, of 20 characters at least. A step changes two counts, of the character that
+    leaves and of the one that enters, and with them the sum of c * log2(c) over the window.
+    """
+    weight = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)))
+    count = lambda w, c: F.length(w) - F.length(F.replace(w, c, F.lit("")))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+
+    def steps(raw: Column, weight: Column) -> Column:
+        piece = lambda at, n: F.substring(raw, at + 1, n).cast("string")  # noqa: E731  bytes: no walk along the text
 
-    def step(acc: Column, i: Column, x: Column) -> Column:
-        full = i >= WINDOW
-        out = F.when(full, F.get(x, i - WINDOW)).otherwise(-1)
-        into = F.get(x, i)
-        old = F.when(full, F.get(acc.c, out)).otherwise(0)
-        new = F.get(acc.c, into) - F.when(out == into, 1).otherwise(0)
-        total = acc["sum"] + F.when(full, gain(old - 1) - gain(old)).otherwise(0.0) + gain(new + 1) - gain(new)
-        counts = F.transform(acc.c, lambda c, j: c - F.when(j == out, 1).otherwise(0) + F.when(j == into, 1).otherwise(0))
-        bits = F.log2(F.lit(float(WINDOW))) - total / WINDOW
-        return F.struct(counts.alias("c"), total.alias("sum"), F.when((i >= WINDOW - 1) & (bits > acc.best), bits).otherwise(acc.best).alias("best"))
+        def step(acc: Column, i: Column) -> Column:
+            full = i >= WINDOW
+            gone = F.when(full, piece(i - WINDOW, 1)).otherwise("")
+            left = count(piece(F.greatest(i - WINDOW, F.lit(0)), F.least(i, F.lit(WINDOW))), gone)
+            into = count(piece(F.greatest(i - WINDOW + 1, F.lit(0)), F.least(i, F.lit(WINDOW - 1))), piece(i, 1))
+            total = acc["sum"] + F.get(weight, into + 1) - F.get(weight, into) + F.when(full, F.get(weight, left - 1) - F.get(weight, left)).otherwise(0.0)
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, lambda acc, i: step(acc, i, codes), lambda acc: acc.best)
+            def kept(total: Column) -> Column:
+                bits = F.lit(math.log2(WINDOW)) - total / WINDOW
+                return F.struct(total.alias("sum"), F.when((i >= WINDOW - 1) & (bits > acc.best), bits).otherwise(acc.best).alias("best"))
+
+            return bound(total, kept)
+
+        return F.aggregate(F.sequence(F.lit(0), F.length(raw) - 1), start, step, lambda acc: acc.best)
+
+    return bound(weight, lambda w: bound(s.cast("binary"), lambda raw: steps(raw, w)))
 
 
 def with_secrets(df: DataFrame, text: str = "text", prefix: str = "__secret") -> DataFrame:
@@ -77,12 +98,11 @@ def with_secrets(df: DataFrame, text: str = "text", prefix: str = "__secret") ->
     df = df.withColumn(f"{prefix}_entropy", away_from(F.col(f"{prefix}_entropy"), base))
 
     def secret(x: Column) -> Column:
-        core = F.regexp_replace(x.m, "=+$", "")
-        allowed = F.lit(False)
-        for rule in ALLOWED:
-            allowed = allowed | core.rlike(rule)
-        need = F.when(core.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), BITS["hex"]).when(core.rlike("[a-z]") & core.rlike("[A-Z]"), BITS["mixed"]).otherwise(BITS["one_case"])
-        return F.when(allowed, False).otherwise(best_entropy(core) >= need)
+        def judged(core: Column) -> Column:
+            need = F.when(core.rlike("^(?:[0-9a-f]++|[0-9A-F]++)$"), BITS["hex"]).when(core.rlike("[a-z]") & core.rlike("[A-Z]"), BITS["mixed"]).otherwise(BITS["one_case"])
+            return F.when(allowed(core), False).otherwise(best_entropy(core) >= need)
+
+        return bound(F.regexp_replace(x.m, "=+$", ""), judged)
 
     return df.withColumn(f"{prefix}_entropy", F.when(F.size(f"{prefix}_entropy") > 0, F.filter(f"{prefix}_entropy", secret)).otherwise(F.col(f"{prefix}_entropy")))
 
@@ -102,7 +122,11 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, counts of base spans, their digest, and all spans."""
+    """One row per row of ``docs``: doc_id, counts of base spans, their digest, and all spans.
+
+    A null or empty text has no spans (the digest is that of no bytes), repeated rows give repeated
+    results, an empty table none; other columns are not read.
+    """
     df = with_secrets(docs.select("doc_id", "text"))
     base = [f"__secret_{k}" for k in KINDS]
     df = df.select(
@@ -113,4 +137,5 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text of ``documents``; see :func:`scan_secrets`."""
     return scan_secrets(table(spark, sf_dir, "documents"))

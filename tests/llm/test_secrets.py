@@ -78,3 +78,21 @@ def test_short_parts_of_random_tokens(spark):
     got = {r.doc_id: r.spans for r in S.scan_secrets(docs).collect()}
     assert [k for k in sorted(got) if "entropy" in got[k]] == list(range(len(found)))
     assert {r.text for r in S.redact_secrets(docs).collect()} == {"[SECRET]", *names}
+
+
+def test_very_long_texts_and_many_spans(spark):
+    rows = ["a1/b2/" * 300_000, "_-_-" * 300_000, "Ab1-" * 100_000, "token=abcdef123456 " * 20_000, "deadbeefdeadbeef " * 100_000, "Zm9vYmFyQmF6cXV4Q29ycmVjdDEyMzQ5OA " * 300 + "é" * 300_000]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in S.scan_secrets(docs).collect()}
+    assert got[0].spans == got[1].spans == got[2].spans == ""
+    assert got[3].n_assign == 20_000 and got[4].n_hex == 100_000 and got[5].spans.count("entropy") == 300
+    masked = {r.doc_id: r.text for r in S.redact_secrets(docs).collect()}
+    assert masked[4] == "[SECRET] " * 100_000 and masked[5] == "[SECRET] " * 300 + "é" * 300_000 and masked[0] == rows[0]
+
+
+def test_overlaps_with_many_base_spans(spark):
+    df = spark.createDataFrame([([(10 * k, 10 * k + 6, "b") for k in range(300)], [(10 * k + 3 * (k % 4), 10 * k + 3 * (k % 4) + 2, "c") for k in range(300)])], "b array<struct<s:int,e:int,m:string>>, c array<struct<s:int,e:int,m:string>>")
+    from pyspark.sql import functions as F
+
+    got = [x.s for x in df.select(S.away_from(F.col("c"), ["b"])).first()[0]]
+    assert got == [10 * k + 3 * (k % 4) for k in range(300) if all(10 * k + 3 * (k % 4) >= 10 * j + 6 or 10 * k + 3 * (k % 4) + 2 <= 10 * j for j in range(300))]
