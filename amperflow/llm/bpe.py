@@ -3,18 +3,20 @@
 A rolling hash over the bytes cuts every text where its content says so, hence texts that share a
 passage share its chunks; a chunk is encoded once per task and then taken from a cache of bounded
 size. Around every cut the join is encoded again: it reaches back and forth to the nearest places
-where the split into words cannot depend on what lies outside (an ASCII letter, then a space and
-an ASCII letter), and there both encodings agree, whatever the rest of the text holds.
+where the split into words cannot depend on what lies outside (a space between two visible ASCII
+characters), and there both encodings agree, whatever the rest of the text holds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -23,6 +25,8 @@ from .common import byte_slices, table
 #: The split of byte-level BPE into words. Fixed value.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW, MASK_BITS, CACHE_MB, SLICE = 32, 9, 48, 4 << 20
+#: Runs of white space (Unicode's property) from this length on are cut out before the split into words.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 #: First byte of U+0300. Beyond it, libraries' tables of letters and spaces may differ by version.
 BEYOND_LATIN = 0xCC
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -63,10 +67,17 @@ class Codec:
 
     def plain(self, piece: bytes, latin: bool) -> tuple[bytes, bytes, int]:
         """Ids as little-endian bytes, the decoded bytes, and the number of ids of a piece."""
-        text = piece.decode("utf-8", "replace")
-        ids = self.fast.encode(text, allowed_special="all") if latin else self.full.encode(text, add_special_tokens=False).ids
+        text, at, parts = piece.decode("utf-8", "replace"), 0, []
+        ids = lambda s: self.fast.encode(s, allowed_special="all") if latin else self.full.encode(s, add_special_tokens=False).ids
+        # A long run of white space is one word, but for its last character where more follows; the
+        # split by a regular expression would try every shorter run first, and give up.
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            parts += [ids(text[at : run.start()]), self.fast._encode_single_piece(text[run.start() : end])]
+            at = end
+        parts.append(ids(text[at:]))
         self.encoded += 1
-        return np.array(ids, "<u4").tobytes(), b"".join(map(self.table.__getitem__, ids)), len(ids)
+        return b"".join(np.array(p, "<u4").tobytes() for p in parts), b"".join(b"".join(map(self.table.__getitem__, p)) for p in parts), sum(map(len, parts))
 
     def chunk(self, piece: bytes, latin: bool) -> tuple[bytes, bytes, int]:
         """As :meth:`plain`, but encoded only where neither half of the cache has it."""
@@ -134,18 +145,18 @@ def content_cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def word_starts(data: np.ndarray) -> np.ndarray:
-    """Positions of a space between two ASCII letters: words end and begin there in any context."""
-    lower = data | 0x20
-    letter = (lower >= 97) & (lower <= 122) & (data < 128)
-    return np.flatnonzero((data[1:-1] == 32) & letter[:-2] & letter[2:]) + 1
+    """Positions of a space between two visible ASCII characters: words end and begin there in any context."""
+    visible = (data > 32) & (data < 127)
+    return np.flatnonzero((data[1:-1] == 32) & visible[:-2] & visible[2:]) + 1
 
 
-def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary_path: str, counted: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row; a null text counts as empty.
 
     The vocabulary is read by the driver and sent along (its size is fixed). Rows are handled
     where they are read: nothing is shuffled, and a task's memory is bounded by the cache, a slice
     of 4 MB of texts, or the longest text. Repeated rows give repeated results; an empty table none.
+    ``counted``: accumulators that get how many pieces were encoded, and how many came from a cache.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -159,6 +170,9 @@ def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 n, a, b = zip(*codec.texts(data, ends), strict=True)
                 ids = batch.column("doc_id").slice(first, end - first).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=out.names)
+        if counted and codec:
+            counted[0].add(codec.encoded)
+            counted[1].add(codec.reused)
 
     return docs.select("doc_id", "text").mapInArrow(run, out)
 
@@ -194,4 +208,5 @@ def default_vocabulary() -> str:
 
 
 def op8_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text of ``documents`` under the 50k vocabulary; see :func:`encode_documents`."""
     return encode_documents(table(spark, sf_dir, "documents"), default_vocabulary())

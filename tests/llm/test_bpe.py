@@ -6,7 +6,8 @@ import pytest
 
 from amperflow.llm import bpe
 
-TEXTS = [None, "", " ", "a", "\n\n  \t x", "Thhe'll of the <|endoftext|> and <|endoftext|>", "naïve çà été ß ñ ÿ \u0085 \xa0 x", "日本語 テキスト 中文 " * 40, "a" * 5000, "word " * 3000, "x́y 😀😀 z " * 50, "".join(chr(k) + " a" for k in range(0x300) if k) ]
+TEXTS = [None, "", " ", "a", "\n\n  \t x", "Thhe'll of the <|endoftext|> and <|endoftext|>", "naïve çà été ß ñ ÿ \u0085 \xa0 x", "日本語 テキスト 中文 " * 40, "a" * 5000, "word " * 3000, "x́y 😀😀 z " * 50, "".join(chr(k) + " a" for k in range(0x300) if k),
+         " " * 1_000_000, "a" + "\n" * 1_000_000, "\t" * 5000 + "x", "é" + " \n" * 4000 + "1", "中" + "　" * 5000 + "文", "a\x1c" + " " * 5000 + "\x1cb", " " * 6000 + "a" + " " * 6000, "a" * 1_000_000]
 
 
 def reference(texts):
@@ -62,3 +63,12 @@ def test_texts_keep_their_columns(spark, extra):
     row = bpe.encode_texts(docs, bpe.default_vocabulary()).first()
     with open(bpe.default_vocabulary(), encoding="utf-8") as f:
         assert bpe.Codec(f.read()).decode(row[-1]) == "the end"
+
+
+def test_reuse_is_reported(spark):
+    passage = " ".join(f"word{k * k}" for k in range(3000))
+    docs = spark.createDataFrame([(k, passage) for k in range(6)], "doc_id long, text string").coalesce(1)
+    counted = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    assert bpe.encode_documents(docs, bpe.default_vocabulary(), counted).count() == 6
+    bpe.encode_documents(docs, bpe.default_vocabulary(), counted).collect()
+    assert counted[1].value > counted[0].value / 4 > 0
