@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,18 +30,39 @@ def conflicts(frames: list[DataFrame]) -> dict[str, set[str]]:
 
 
 def write_parquet(frames: list[DataFrame], path: str, metadata: dict | None = None) -> bool:
-    """All rows of all frames, routing columns kept; True where it is Parquet, False where rows had to be rescued."""
+    """All rows of all frames, routing columns kept; True where it is Parquet, False where rows had to be rescued.
+
+    Rows that fit no one schema, or that Parquet refuses, are rescued as JSON lines under a name that
+    nothing has yet. A target that exists already is an error and no reason for a rescue.
+    """
     spark = frames[0].sparkSession
     facts = {"metadata": redact_metadata(metadata or {}), "columns": list(dict.fromkeys(c for f in frames for c in f.columns))}
-    mixed = conflicts(frames)
-    try:
-        if mixed:
-            raise ValueError(f"columns of several types: {', '.join(sorted(mixed))}")
-        union_ragged(*frames).write.mode("errorifexists").parquet(path)
+    mixed, why = conflicts(frames), None
+    if mixed:
+        why = f"columns of several types: {', '.join(sorted(mixed))}"
+    else:
+        try:
+            union_ragged(*frames).write.mode("errorifexists").parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_ALREADY_EXISTS":
+                raise
+            why = str(e)[:500]
+        except Exception as e:  # noqa: BLE001 -- rows must not be lost, whatever stopped the write
+            why = str(e)[:500]
+    if why is None:
         put_text(spark, f"{path}.meta.json", json.dumps(facts | {"finalized": True}))
         return True
-    except Exception as e:  # noqa: BLE001 -- rows must not be lost, whatever the reason
-        lines = [f.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")) for f in frames]
-        union_ragged(*lines).write.mode("overwrite").text(f"{path}.rescue.ndjson")
-        put_text(spark, f"{path}.meta.json", json.dumps(facts | {"finalized": False, "error": str(e)[:500]}))
-        return False
+    lines = union_ragged(*(f.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")) for f in frames))
+    lines.write.mode("errorifexists").text(unused(spark, f"{path}.rescue.ndjson"))
+    put_text(spark, f"{path}.meta.json", json.dumps(facts | {"finalized": False, "error": why}))
+    return False
+
+
+def unused(spark: SparkSession, path: str) -> str:
+    """The path, or the first with a number that nothing is at."""
+    for n in range(1000):
+        found = f"{path}-{n}" if n else path
+        p = spark._jvm.org.apache.hadoop.fs.Path(found)
+        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return found
+    raise FileExistsError(path)

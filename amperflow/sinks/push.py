@@ -83,11 +83,14 @@ class Pusher:
         self.lines.clear()
 
 
-def push_rows(df: DataFrame, url: str, rows_per_request: int = 5000, spool_dir: str | None = None, **request) -> DataFrame:
+def push_rows(df: DataFrame, url: str, spool_dir: str, rows_per_request: int = 5000, **request) -> DataFrame:
     """Post all rows, each task on its own; returns (rows, delivered) per request.
 
-    A repeated task posts again: delivery is at least once. Spool folders must be shared.
+    A repeated task posts again: delivery is at least once. ``spool_dir`` must be a folder that
+    outlives executors; a task's own working folder would vanish with it, so there is no default.
     """
+    if not spool_dir:
+        raise ValueError("spool_dir must name a shared folder")
     lines = df.select(json_row(dict(df.dtypes)).alias("value"))
 
     def run(batches):

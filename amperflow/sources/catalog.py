@@ -5,18 +5,25 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, units
 from ..operators import align, gate, project
 from . import charger as bays
 from .csvtail import CsvTailSource
 from .simulator import simulated
 
 
-def simulator(spark: SparkSession, polls: int = 10, steps: int = 3600) -> DataFrame:
-    return simulated(spark, polls, steps=steps)
+def simulator(spark: SparkSession, polls: int = 10, steps: int = 3600, stream: bool = False, interval: float = 1.0) -> DataFrame:
+    """Samples of a simulated cell: ``polls`` of them, or a stream of one every ``interval`` seconds."""
+    if not stream:
+        return simulated(spark, polls, steps=steps)
+    per_second = max(1, round(1 / interval))
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    every = max(1, round(interval * per_second))
+    step = (F.col("value") / every).cast("long")
+    return ticks.where(F.col("value") % every == 0).select(step.alias("_seq"), (step * interval).cast("double").alias("test_time_second"), *units.simulated_sample(step, steps))
 
 
 def csvtail(spark: SparkSession, path: str, column_map: dict | str, unit_scale: dict | str | None = None, stream: bool = False) -> DataFrame:
@@ -36,20 +43,35 @@ def charger(spark: SparkSession, polls: int = 10, slot: int | None = None, time_
 
 def flightlog(spark: SparkSession, path: str, include_gps: bool = False) -> DataFrame:
     """Samples of parsed flight logs (CSV files); each file is one run."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("content_hash"), F.decode("content", "utf-8").alias("csv"))
-    return gate.normalize_flights(flight_lines(files), include_gps)[0]
+    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("content_hash"), readable("content").alias("csv"))
+    return gate.normalize_flights(flight_lines(files.where("csv is not null")), include_gps)[0]
+
+
+def readable(content: str) -> Column:
+    """The bytes as text, null where they are no UTF-8: one such file must not stop the others."""
+    c = F.col(content)
+    return F.when(F.is_valid_utf8(c.cast("string")), c.cast("string"))
 
 
 def flight_lines(files: DataFrame) -> DataFrame:
-    """Rows of whole CSV files (content_hash, csv): their columns by name, _seq by line."""
+    """Rows of whole CSV files (content_hash, csv): their columns by name, _seq by line.
+
+    Cells may be quoted and hold commas; a quote within a cell is written twice.
+    """
     lines = files.select("content_hash", F.posexplode(F.split("csv", r"\r\n|\n")).alias("_seq", "line")).where(F.trim("line") != "")
-    names = sorted({n for r in files.select(F.substring_index(F.col("csv"), "\n", 1)).distinct().collect() for n in r[0].strip().split(",")})
-    head = files.select("content_hash", F.split(F.trim(F.substring_index(F.col("csv"), "\n", 1)), ",").alias("head"))
-    rows = lines.where("_seq > 0").join(head, "content_hash").withColumn("cells", F.split("line", ","))
+    head = files.select("content_hash", cells(F.trim(F.substring_index(F.col("csv"), "\n", 1))).alias("head"))
+    names = sorted({r[0] for r in head.select(F.explode("head")).distinct().collect()})  # as many columns as logs have
+    rows = lines.where("_seq > 0").join(head, "content_hash").withColumn("cells", cells(F.col("line")))
     of = lambda n: F.get("cells", (F.array_position("head", F.lit(n)) - 1).cast("int"))
     return rows.select("content_hash", "_seq", *(F.when(F.array_contains("head", F.lit(n)), of(n)).alias(n) for n in names))
 
 
+def cells(line: Column) -> Column:
+    """The cells of a line of CSV."""
+    raw = F.regexp_extract_all(line, F.lit(r'(?:^|,)("(?:[^"]|"")*+"|[^,]*+)'), F.lit(1))
+    return F.transform(raw, lambda c: F.when(c.rlike('(?s)^".*"$'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
 def phone(spark: SparkSession, path: str, include_soc: bool = False) -> DataFrame:
     """Samples of phone captures: JSON lines of {"dumpsys": text, "sysfs": {name: text}}."""
     df = spark.read.schema("dumpsys string, sysfs map<string,string>, _seq long").json(path)

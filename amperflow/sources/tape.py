@@ -25,7 +25,7 @@ def read_tape(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     kind = F.schema_of_variant(F.try_variant_get("v", "$.t", "variant"))
     data = F.try_variant_get("v", "$.data", "string")
     meta = F.try_variant_get("v", "$.meta", "variant")
-    binary = F.when(data.rlike("^([0-9a-fA-F]{2})*$"), F.unhex(data))
+    binary = F.when(data.rlike("^[0-9a-fA-F]*+$") & (F.length(data) % 2 == 0), F.unhex(data))
     df = parsed.crossJoin(F.broadcast(last)).select(  # one row
         "line", "last", F.col("v").isNull().alias("torn"), t.alias("t"), kind.alias("kind"), binary.alias("data"), meta.alias("meta"), F.schema_of_variant(meta).alias("meta_kind")
     )
@@ -40,6 +40,11 @@ def read_tape(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return frames, df.where(F.col("fault").isNotNull()).select("line", "fault")
 
 
+def duration(frames: DataFrame) -> DataFrame:
+    """One row: the offset of the last frame, 0 for an empty tape."""
+    return frames.agg(F.coalesce(F.max("t"), F.lit(0.0)).alias("duration_s"))
+
+
 def tape_lines(frames: DataFrame) -> DataFrame:
     """Frames as lines of a tape, in order of time."""
     return frames.orderBy("t").select(F.to_json(F.struct(F.round("t", 6).alias("t"), F.lower(F.hex("data")).alias("data"), F.from_json("meta", "map<string,string>").alias("meta"))).alias("value"))

@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
+import inspect
 import json
-import logging
+import signal
 import sys
+import tempfile
+import threading
+import time
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.redact import Scrubber, secret_name
+from ..operators.ledger import Ledger
 from ..sinks.feed import write_feed
 from ..sources import registry
+from . import collect as looping
 from . import config as settings
-from .collect import import_flights
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,54 +36,121 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--source")
         c.add_argument("--opt", action="append", default=[], metavar="KEY=VALUE")
         c.add_argument("--institution")
-        c.add_argument("--out", required=False)
-        if verb == "import":
+        c.add_argument("--interval", help="seconds from one sample, or look at the folder, to the next")
+        if verb == "collect":
+            c.add_argument("--out")
+            c.add_argument("--duration", help="seconds; without it until interrupted")
+            c.add_argument("--cell", help="what the files are named after")
+        else:
+            c.add_argument("--out", "--out-dir", dest="out")
             c.add_argument("--ledger")
             c.add_argument("--reset-ledger", action="store_true")
+            c.add_argument("--watch", action=argparse.BooleanOptionalAction, default=None)
     return p
 
 
+@contextlib.contextmanager
+def interrupts() -> Iterator[threading.Event]:
+    """An event that an interrupt or a request to end sets, so that files are finished."""
+    event, before = threading.Event(), {}
+    if threading.current_thread() is threading.main_thread():
+        before = {s: signal.signal(s, lambda *_: event.set()) for s in (signal.SIGINT, signal.SIGTERM)}
+    try:
+        yield event
+    finally:
+        for s, handler in before.items():
+            signal.signal(s, handler)
+
+
+def collect(spark: SparkSession, make: Callable, plan: dict, options: dict, stop: Callable[[], bool], scrub: Scrubber) -> dict:
+    """A source that can be a stream goes on for the duration; any other is one finite batch."""
+    known = inspect.signature(make).parameters
+    facts = {"source": plan["source"], "options": options, "requested_interval_second": plan["interval"], "requested_duration_second": plan["duration"]}
+    facts = scrub(facts)
+    finite = "stream" not in known or "polls" in options
+    options = options | ({"interval": plan["interval"]} if "interval" in known else {}) | ({"stream": True} if not finite else {})
+
+    def write(df: DataFrame) -> int:
+        df = df.persist()
+        try:
+            rows = df.count()
+            if rows or finite:
+                write_feed(df, plan["out"], plan["institution"], metadata=facts, cell=plan["cell"])
+            return rows
+        finally:
+            df.unpersist()
+
+    if finite:
+        df = make(spark, **options)
+        rows = write(df if "test_time_second" in df.columns else df.withColumn("test_time_second", F.col("_seq") * plan["interval"]))
+        return {"source": plan["source"], "samples": rows}
+    with tempfile.TemporaryDirectory(prefix="amperflow-collect-") as folder:  # offsets of one run of one driver
+        stats = looping.collect_stream(make(spark, **options), lambda df, _: write(df), f"file://{folder}", plan["duration"], stop=stop)
+    return {"source": plan["source"], "samples": stats.samples, "errors": stats.errors, "seconds": round(stats.duration_s, 1)}
+
+
+def watch(spark: SparkSession, plan: dict, options: dict, stop: Callable[[], bool]) -> dict:
+    """Imports what is new; with ``watch`` again and again."""
+    total = {"files": 0, "samples": 0, "quarantined": 0}
+    while True:
+        for k, v in looping.import_flights(spark, options["path"], plan["out"], plan["ledger"], plan["institution"]).items():
+            total[k] += v
+        until = time.monotonic() + plan["interval"]
+        while plan["watch"] and not stop() and time.monotonic() < until:
+            time.sleep(min(0.2, plan["interval"]))
+        if not plan["watch"] or stop():
+            return total
+
+
+def planned(args: argparse.Namespace) -> tuple[Callable, dict, dict]:
+    """(maker of the source, settings, options): the command line wins over the file, the file over defaults."""
+    file = settings.load_config(args.config) if args.config else {}
+    table = file.get(args.verb, {})
+    name, options = settings.source_options(file, args.source, settings.parse_options(args.opt))
+    given = lambda key, default=None, *more: settings.first_given(getattr(args, key, None), *(table.get(k) for k in (key, *more)), default)
+    plan = {"source": name, "out": given("out", "feed", "out_dir"), "institution": given("institution", "LOCAL"), "cell": given("cell"), "watch": bool(given("watch", False))}
+    plan["interval"] = settings.positive(given("interval", 1.0 if args.verb == "collect" else 5.0), "interval")
+    duration = given("duration")
+    plan["duration"] = None if duration is None else settings.positive(duration, "duration")
+    plan["ledger"] = getattr(args, "ledger", None) or f"{plan['out']}/.ledger"
+    return registry.source(name), plan, options
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.verb == "sources":
         for name in sorted(registry.available_sources()):
-            print(name, json.dumps(registry.options(name), default=str))
+            print(name, json.dumps({k: "***" if v is not None and secret_name(k) else v for k, v in registry.options(name).items()}, default=str))
         return 0
     if args.verb == "discover":
         found = [{"source": n, "unavailable": registry.availability(n)} for n in sorted(registry.available_sources())]
         print(json.dumps({"candidates": [f["source"] for f in found if not f["unavailable"]], "notes": [f for f in found if f["unavailable"]]}) if args.json else "\n".join(f["source"] for f in found))
         return 0
     try:
-        file = settings.load_config(args.config) if args.config else {}
-        table = file.get(args.verb, {})
-        source = dict(file.get("source", {}))
-        options = settings.expand({k: v for k, v in source.items() if k != "type"}) | settings.parse_options(args.opt)
-        name = settings.first_given(args.source, source.get("type"))
-        out = settings.first_given(args.out, table.get("out"), table.get("out_dir"), "feed")
-        institution = settings.first_given(args.institution, table.get("institution"), "LOCAL")
-        make = registry.source(name)
+        make, plan, options = planned(args)
     except (settings.ConfigError, KeyError, ValueError, TypeError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
-    logging.getLogger("amperflow").addFilter(settings.ScrubbingFilter(settings.secrets_of(options)))
-    spark = SparkSession.builder.appName("amperflow").getOrCreate()
-    try:
-        if args.verb == "import":
-            from ..operators.ledger import Ledger
-
-            ledger = args.ledger or f"{out}/.ledger"
-            if args.reset_ledger:
-                Ledger(spark, ledger).reset()
-            print(json.dumps(import_flights(spark, options["path"], out, ledger, institution)))
-        else:
-            write_feed(make(spark, **options), out, institution, metadata={"source": name, "options": options})
-        return 0
-    except ValueError as e:
-        print(f"error: {e}", file=sys.stderr)
-        return 2
-    except Exception as e:  # noqa: BLE001 -- the exit code tells
-        print(f"failed: {e}", file=sys.stderr)
-        return 1
+    unset = [o for o in registry.options(plan["source"]) if o not in options]
+    scrub = Scrubber(settings.secrets_of(options) + settings.environment_secrets(unset))
+    with settings.scrubbed_logs(scrub) as take_in, interrupts() as stop:
+        try:
+            spark = SparkSession.builder.appName("amperflow").getOrCreate()
+            take_in()
+            if args.verb == "import":
+                if args.reset_ledger:
+                    Ledger(spark, plan["ledger"]).reset()
+                done = watch(spark, plan, options, stop.is_set)
+            else:
+                done = collect(spark, make, plan, options, stop.is_set, scrub)
+            print(json.dumps(done))
+            return 0
+        except (ValueError, TypeError) as e:
+            print(f"error: {scrub.text(str(e))}", file=sys.stderr)
+            return 2
+        except Exception as e:  # noqa: BLE001 -- the exit code tells
+            print(f"failed: {scrub.text(str(e))}", file=sys.stderr)
+            return 1
 
 
 if __name__ == "__main__":

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import gate, project
 from ..operators.ledger import Ledger, candidates
 from ..sinks.feed import write_feed
-from ..sources.catalog import flight_lines
+from ..sources.catalog import flight_lines, readable
 from .supervisor import ErrorPolicy, Guard
 
 log = logging.getLogger(__name__)
@@ -78,37 +78,81 @@ def import_until_drained(poll: Callable[[], Any], write: Callable[[Any], Any], c
     return stats
 
 
+#: Why a flight log cannot be imported. Fixed values of this engine's ledger.
+REASONS = {"text": "not UTF-8 text", "head": "no header with a time and a voltage", "time": "no row with a time", "row": "no plausible row"}
+
+
 def import_flights(spark: SparkSession, folder: str, out: str, ledger_dir: str, institution: str = "LOCAL", include_gps: bool = False) -> dict[str, int]:
     """All new flight logs of a folder in one go: gate, feed files, and only then the ledger.
 
-    Files without a usable row are set aside with the reason. A crash before the ledger is written
-    imports the same files again, into new feed files.
+    Files without a usable row are set aside, each with its own reason; none stops the others. A crash
+    before the ledger is written imports the same files again, into new feed files.
     """
     ledger = Ledger(spark, ledger_dir)
-    new = ledger.new(candidates(spark, folder)).dropDuplicates(["content_hash"]).withColumn("csv", F.decode("content", "utf-8")).drop("content")
+    new = ledger.new(candidates(spark, folder)).dropDuplicates(["content_hash"]).withColumn("csv", readable("content")).drop("content")
     new = new.cache()
     try:
-        files = new.where("content_hash is not null").count()
-        if not new.count():
+        seen = new.agg(F.count("content_hash").alias("files"), F.count_if(F.col("content_hash").isNull()).alias("empty")).first()
+        if not seen.files and not seen.empty:
             return {"files": 0, "samples": 0, "quarantined": 0}
-        empty = new.where("content_hash is null")
-        samples, summaries, _ = gate.normalize_flights(flight_lines(new.where("content_hash is not null")), include_gps)
+        logs = new.where("content_hash is not null")
+        samples, summaries, _ = gate.normalize_flights(flight_lines(logs.where("csv is not null")), include_gps)
+        summaries = summaries.select("content_hash", "rows_total", "records", "bad_ts").cache()
         good = summaries.where("records > 0").select("content_hash")
         samples = project.flat_cells(samples).cache()
         n = samples.count()
         if n:
             write_feed(samples, out, institution)
-        ledger.record(new.join(good, "content_hash", "left_semi"))
-        bad = new.where("content_hash is not null").join(good, "content_hash", "left_anti").withColumn("reason", F.lit("no plausible row"))
+        ledger.record(logs.join(good, "content_hash", "left_semi"))
+        head = F.substring_index(F.col("csv"), "\n", 1)
+        why = (
+            F.when(F.col("csv").isNull(), REASONS["text"]).when(~head.contains("CUSTOM.dateTime") | ~head.contains("BATTERY.voltage"), REASONS["head"])
+            .when(F.coalesce(F.col("rows_total") == F.col("bad_ts"), F.lit(True)), REASONS["time"]).otherwise(REASONS["row"])
+        )
+        bad = logs.join(good, "content_hash", "left_anti").join(summaries, "content_hash", "left").withColumn("reason", why)
         aside = ledger.quarantine(bad)
         samples.unpersist()
-        if empty.limit(1).count():
+        summaries.unpersist()
+        if seen.empty:
             log.warning("empty files are skipped and looked at again next time")
-        return {"files": files, "samples": n, "quarantined": aside}
+        return {"files": seen.files, "samples": n, "quarantined": aside}
     finally:
         new.unpersist()
 
 
+def collect_stream(df: DataFrame, write: Callable[[DataFrame, int], int], checkpoint: str, duration: float | None = None, flush: float = 60.0, policy: ErrorPolicy | None = ErrorPolicy(), clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep, stop: Callable[[], bool] = lambda: False) -> Stats:
+    """Samples of a stream, handed to ``write`` every ``flush`` seconds until ``duration`` is over or ``stop`` says so; ``write`` tells how many.
+
+    What has arrived by then is written before it ends. A failed round is repeated from the checkpoint.
+    """
+    stats, guard, start = Stats(), Guard(policy, sleep), clock()
+
+    def counted(batch: DataFrame, k: int) -> None:
+        rows = write(batch, k)
+        stats.samples += rows
+        stats.batches += rows > 0
+
+    last = False
+    while not last:
+        due = clock() + flush
+        if duration is not None:
+            due = min(due, start + duration)
+        while clock() < due and not stop():
+            sleep(min(0.2, max(0.0, due - clock())))
+        last = stop() or (duration is not None and clock() >= start + duration)
+        stats.polls += 1
+        try:
+            query = stream_to(df, counted, checkpoint, once=True)
+            query.awaitTermination()
+        except Exception as e:  # noqa: BLE001 -- whatever ended the query
+            guard.failed(e)
+            last = False
+            continue
+        guard.succeeded()
+    stats.errors, stats.duration_s = guard.errors, clock() - start
+    return stats
+
+
 def stream_to(df: DataFrame, write: Callable[[DataFrame, int], Any], checkpoint: str, once: bool = True, interval: str = "1 second"):
     """Micro-batches to ``write(batch, id)``; offsets are committed after it returned."""
     out = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
