@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bound
 from .text import lookup
 
 HEADER, PROGRESS, SETTINGS, MACHINE = 0x0F, 0x55, 0x5F, 0x5A
@@ -39,29 +40,49 @@ def request(command: int, slot: int = 0, usb: bool = False) -> bytes:
     return body + bytes([sum(body) & 0xFF])
 
 
+def byte_values(data: Column) -> Column:
+    """The bytes of a binary value as an array of numbers."""
+    pair = lambda h: F.transform(F.sequence(F.lit(0), (F.length(h) / 2).cast("int") - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    return F.when(F.length(data) > 0, bound(F.hex(data), pair)).otherwise(F.array().cast("array<int>"))
+
+
+def number(b: Column, at: int, n: int = 1) -> Column:
+    """Big-endian number of ``n`` bytes at a 0-based place of an array of bytes."""
+    out = F.get(b, at)
+    for k in range(1, n):
+        out = out * 256 + F.get(b, at + k)
+    return out
+
+
 def unsigned(frame: Column, at: int, n: int = 1) -> Column:
     """Big-endian number of ``n`` bytes at a 0-based place."""
     return F.conv(F.hex(F.substring(frame, at + 1, n)), 16, 10).cast("int")
 
 
+def low_byte(b: Column) -> Column:
+    return F.aggregate(b, F.lit(0), lambda acc, x: acc + x).bitwiseAND(F.lit(255))
+
+
 def checksum(data: Column) -> Column:
     """Low byte of the sum of all bytes."""
-    hexed = F.hex(data)
-    n = F.length(data)
-    total = F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(0).cast("long"), lambda acc, i: acc + F.coalesce(F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("long"), F.lit(0).cast("long")))
-    return F.when(n > 0, total).otherwise(F.lit(0).cast("long")).bitwiseAND(F.lit(255)).cast("int")
+    return bound(byte_values(data), low_byte)
+
+
+def _sound(b: Column) -> Column:
+    return (F.size(b) >= 2) & (low_byte(F.slice(b, 1, F.size(b) - 1)) == F.element_at(b, -1))
 
 
 def checksum_valid(frame: Column) -> Column:
-    n = F.length(frame)
-    return (n >= 2) & (checksum(frame.substr(F.lit(1), n - 1)) == F.conv(F.hex(frame.substr(n, F.lit(1))), 16, 10).cast("int"))
+    return F.when(F.length(frame) >= 2, bound(byte_values(frame), _sound)).otherwise(F.length(frame) >= 2)
+
+
+def _reason(b: Column) -> Column:
+    return F.when(F.size(b) < BLE_LENGTH, "length").when(F.get(b, 0) != HEADER, "header").when(F.get(b, 1) != PROGRESS, "opcode").when(~_sound(b), "checksum")
 
 
 def reject_reason(frame: Column) -> Column:
     """Why a progress frame cannot be decoded; null where it can."""
-    return (
-        F.when(frame.isNull() | (F.length(frame) < BLE_LENGTH), "length").when(unsigned(frame, 0) != HEADER, "header").when(unsigned(frame, 1) != PROGRESS, "opcode").when(~checksum_valid(frame), "checksum")
-    )
+    return decoded(frame)["reject_reason"]
 
 
 def mode_name(battery_type: Column, mode: Column) -> Column:
@@ -74,30 +95,35 @@ def led_colour(bits: Column, slot: Column) -> Column:
     return F.when(bit(slot), "red").when(bit(slot + 4), "green").otherwise("none")
 
 
-def progress(frame: Column) -> Column:
-    """The fields of a progress frame as a struct, null where the frame is rejected."""
-    resistance, battery, mode, status, slot, led = unsigned(frame, 16, 2), unsigned(frame, 3), unsigned(frame, 4), unsigned(frame, 6), unsigned(frame, 2), unsigned(frame, 18)
-    millivolt = unsigned(frame, 9, 2)
-    fields = F.struct(
-        slot.alias("slot"), battery.alias("battery_type_code"), lookup(battery, BATTERY_TYPES).alias("battery_type"), mode.alias("mode_code"), mode_name(battery, mode).alias("mode"), unsigned(frame, 5).alias("program_count"),
-        status.alias("status_code"), lookup(status, STATUSES).alias("status"), unsigned(frame, 7, 2).alias("elapsed_s"), millivolt.alias("voltage_mv"), unsigned(frame, 11, 2).alias("current_ma"), unsigned(frame, 13, 2).alias("capacity_mah"),
-        unsigned(frame, 15).alias("temperature"), F.when(~resistance.isin(*NO_RESISTANCE), resistance).alias("resistance_mohm"), led.alias("led_bits"), led_colour(led, slot).alias("led"),
+def _fields(b: Column) -> Column:
+    slot, battery, mode, status, led = (number(b, k) for k in (2, 3, 4, 6, 18))
+    millivolt, resistance = number(b, 9, 2), number(b, 16, 2)
+    return F.struct(
+        slot.alias("slot"), battery.alias("battery_type_code"), lookup(battery, BATTERY_TYPES).alias("battery_type"), mode.alias("mode_code"), mode_name(battery, mode).alias("mode"), number(b, 5).alias("program_count"),
+        status.alias("status_code"), lookup(status, STATUSES).alias("status"), number(b, 7, 2).alias("elapsed_s"), millivolt.alias("voltage_mv"), number(b, 11, 2).alias("current_ma"), number(b, 13, 2).alias("capacity_mah"),
+        number(b, 15).alias("temperature"), F.when(~resistance.isin(*NO_RESISTANCE), resistance).alias("resistance_mohm"), led.alias("led_bits"), led_colour(led, slot).alias("led"),
         (millivolt > 0).alias("occupied"), (status == 1).alias("is_charging"), (status == 2).alias("is_discharging"),
     )
-    return F.when(reject_reason(frame).isNull(), fields)
+
+
+def decoded(frame: Column) -> Column:
+    """struct(reject_reason, reading) of a progress frame: one of them is null. The frame's bytes are read once."""
+    both = lambda b: bound(_reason(b), lambda why: F.struct(why.alias("reject_reason"), F.when(why.isNull(), _fields(b)).alias("reading")))
+    return bound(F.coalesce(byte_values(frame), F.array().cast("array<int>")), both)
+
+
+def progress(frame: Column) -> Column:
+    """The fields of a progress frame as a struct, null where the frame is rejected."""
+    return decoded(frame)["reading"]
 
 
 def encode_progress(r: Column, length: int = USB_LENGTH) -> Column:
     """The frame of a struct of progress fields: negative numbers as 0, 16 bits each, checksum last."""
-    byte = lambda c: F.lpad(F.hex(F.greatest(F.coalesce(c, F.lit(0)).cast("long"), F.lit(0).cast("long")).bitwiseAND(F.lit(255))), 2, "0")
-    word = lambda c: F.lpad(F.hex(F.greatest(F.coalesce(c, F.lit(0)).cast("long"), F.lit(0).cast("long")).bitwiseAND(F.lit(0xFFFF))), 4, "0")
-    body = F.unhex(
-        F.concat(
-            F.lit(f"{HEADER:02X}{PROGRESS:02X}"), byte(r["slot"]), byte(r["battery_type_code"]), byte(r["mode_code"]), byte(r["program_count"]), byte(r["status_code"]), word(r["elapsed_s"]), word(r["voltage_mv"]), word(r["current_ma"]),
-            word(r["capacity_mah"]), byte(r["temperature"]), word(r["resistance_mohm"]), byte(r["led_bits"]), F.lit("00" * (length - BLE_LENGTH)),
-        )
-    )
-    return F.concat(body, F.unhex(F.lpad(F.hex(checksum(body).cast("long")), 2, "0")))
+    whole = lambda c, most: F.greatest(F.coalesce(c, F.lit(0)).cast("long"), F.lit(0).cast("long")).bitwiseAND(F.lit(most))
+    hexed = lambda name, digits: F.lpad(F.hex(whole(r[name], 16**digits - 1)), digits, "0")
+    layout = (("slot", 2), ("battery_type_code", 2), ("mode_code", 2), ("program_count", 2), ("status_code", 2), ("elapsed_s", 4), ("voltage_mv", 4), ("current_ma", 4), ("capacity_mah", 4), ("temperature", 2), ("resistance_mohm", 4), ("led_bits", 2))
+    body = F.unhex(F.concat(F.lit(f"{HEADER:02X}{PROGRESS:02X}"), *(hexed(*x) for x in layout), F.lit("00" * (length - BLE_LENGTH))))
+    return bound(body, lambda b: F.concat(b, F.unhex(F.lpad(F.hex(checksum(b).cast("long")), 2, "0"))))
 
 
 def machine(frame: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bound
+
 #: Names of Android's battery codes. Fixed values.
 BATTERY_STATUS = {1: "Unknown", 2: "Charging", 3: "Discharging", 4: "Not charging", 5: "Full"}
 BATTERY_HEALTH = {1: "Unknown", 2: "Good", 3: "Overheat", 4: "Dead", 5: "Over voltage", 6: "Unspecified failure", 7: "Cold"}
@@ -44,11 +46,16 @@ def snake_key(x: Column) -> Column:
 
 def key_values(text: Column) -> Column:
     """Lines ``key: value`` as a map with snake-case keys; of repeated keys the last counts."""
+    entry = lambda x: F.struct(snake_key(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v"))
     lines = F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: x.contains(":"))
-    key = lambda x: snake_key(F.substring_index(x, ":", 1))
-    pairs = F.filter(F.transform(lines, lambda x: F.struct(key(x).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v"))), lambda p: (p.k != ""))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q.k == p.k))
-    return F.map_from_entries(last)
+    pairs = F.reverse(F.filter(F.transform(lines, entry), lambda p: p.k != ""))  # the last first
+
+    def first_of_each(pairs: Column) -> Column:
+        keys = F.transform(pairs, lambda p: p.k)
+        named = lambda keys: bound(F.array_distinct(keys), lambda once: F.map_from_arrays(once, F.transform(once, lambda k: F.get(pairs, (F.array_position(keys, k) - 1).cast("int")).v)))
+        return bound(keys, named)
+
+    return F.when(text.isNotNull(), bound(pairs, first_of_each))
 
 
 def as_boolean(x: Column) -> Column:

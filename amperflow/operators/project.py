@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as names
@@ -42,7 +42,7 @@ def charger_sample(r: Column, time_base: str = "collection") -> list[Column]:
 def unwrap_timer(df: DataFrame, window, timer: str = "elapsed_s", wrap: int = 65_536) -> DataFrame:
     """An unwrapped run timer: each step back of the 16-bit counter adds a turn."""
     back = (F.col(timer) < F.lag(timer).over(window)).cast("long")
-    return df.withColumn("__back", F.coalesce(back, F.lit(0).cast("long"))).withColumn("unwrapped_s", F.col(timer) + F.sum("__back").over(window.rowsBetween(window.unboundedPreceding, 0)) * wrap).drop("__back")
+    return df.withColumn("__back", F.coalesce(back, F.lit(0).cast("long"))).withColumn("unwrapped_s", F.col(timer) + F.sum("__back").over(window.rowsBetween(Window.unboundedPreceding, 0)) * wrap).drop("__back")
 
 
 def power_pack(status: Mapping[str, Column], full: Column, cycles: Column) -> list[Column]:

@@ -38,3 +38,8 @@ def monotonic_breaks(df: DataFrame, t: str = "t", order: str = "line", *keys: st
     """Rows whose time lies before the row above."""
     before = F.lag(t).over(Window.partitionBy(*keys).orderBy(order))
     return df.withColumn("before", before).where(F.col(t) < F.col("before"))
+
+
+def lifetime(df: DataFrame, *keys: str) -> DataFrame:
+    """Per source: samples collected, the last batch that had any, and how many had."""
+    return df.groupBy(*keys).agg(F.count("*").alias("samples_collected"), F.max("_batch_id").alias("last_batch"), F.count_distinct("_batch_id").alias("polls"))

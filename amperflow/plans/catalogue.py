@@ -201,18 +201,10 @@ def numbered(df: DataFrame) -> DataFrame:
     return segment.numbered_files(m, "LOCAL", F.col("day")).select("series_id", "segment", "seq", "file")
 
 
-@query(f"""WITH {ISLANDS}, m AS (SELECT series_id, segment, min(_seq) AS first_seq, min(ts)::DATE AS day FROM q WHERE user_id < 20 GROUP BY series_id, segment)
-SELECT series_id, segment, (row_number() OVER (PARTITION BY lower(series_id), day ORDER BY first_seq))::BIGINT AS seq,
- 'LOCAL__' || series_id || '__' || strftime(day, '%Y%m%d') || '_' || printf('%03d', row_number() OVER (PARTITION BY lower(series_id), day ORDER BY first_seq)) || '.bdf.csv' AS file FROM m""")
-def file_sequence_names(spark, sf_dir):
-    """Numbered file names per cell and day, of the series below 20."""
-    return numbered(samples(spark, sf_dir).where("user_id < 20"))
-
-
 @query(f"""WITH {ISLANDS}, m AS (SELECT series_id, segment, min(_seq) AS first_seq, min(ts)::DATE AS day FROM q GROUP BY series_id, segment)
 SELECT series_id, segment, (row_number() OVER (PARTITION BY lower(series_id), day ORDER BY first_seq))::BIGINT AS seq,
  'LOCAL__' || series_id || '__' || strftime(day, '%Y%m%d') || '_' || printf('%03d', row_number() OVER (PARTITION BY lower(series_id), day ORDER BY first_seq)) || '.bdf.csv' AS file FROM m""")
-def file_sequence_names_whole(spark, sf_dir):
+def file_sequence_names(spark, sf_dir):
     """Numbered file names per cell and day, of all series."""
     return numbered(samples(spark, sf_dir))
 
@@ -227,13 +219,13 @@ def cell_name_sanitize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.cell_name(F.col("url")).alias("cell"))
 
 
-@query(f"""WITH n AS (SELECT source || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '?' END || lang AS series_id, min(doc_id) AS first_seq FROM documents WHERE lang IS NOT NULL GROUP BY 1),
+@query(f"""WITH n AS (SELECT source || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '?' END || coalesce(lang, 'none') AS series_id, min(doc_id) AS first_seq FROM documents GROUP BY 1),
 b AS (SELECT *, {CELL.format(x='series_id')} AS base FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY first_seq) AS k FROM b)
 SELECT series_id, CASE WHEN k = 1 THEN base ELSE base || '-' || left(sha256(series_id), 8) END AS cell FROM r""")
 def cell_name_collisions(spark, sf_dir):
     """Names that collide get a hash of their id, but for the first to arrive."""
-    d = table(spark, sf_dir, "documents").where("lang is not null")
-    name = F.concat("source", F.when(F.col("doc_id") % 2 == 0, "/").otherwise("?"), "lang")
+    d = table(spark, sf_dir, "documents")
+    name = F.concat("source", F.when(F.col("doc_id") % 2 == 0, "/").otherwise("?"), F.coalesce("lang", F.lit("none")))
     return segment.cell_names(d.groupBy(name.alias("series_id")).agg(F.min("doc_id").alias("first_seq"))).select("series_id", "cell")
 
 
@@ -285,14 +277,8 @@ def items_and_orders(items: DataFrame, orders: DataFrame) -> DataFrame:
     return contract.union_ragged(a, orders.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p")))
 
 
-@query("SELECT l_orderkey AS k, l_quantity AS q, NULL::DOUBLE AS p FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT o_orderkey, NULL, o_totalprice FROM orders")
-def union_ragged(spark, sf_dir):
-    """Rows of different columns under the union of their columns, of each order's first line."""
-    return items_and_orders(table(spark, sf_dir, "lineitem").where("l_linenumber = 1"), table(spark, sf_dir, "orders"))
-
-
 @query("SELECT l_orderkey AS k, l_quantity AS q, NULL::DOUBLE AS p FROM lineitem UNION ALL SELECT o_orderkey, NULL, o_totalprice FROM orders")
-def union_ragged_whole(spark, sf_dir):
+def union_ragged(spark, sf_dir):
     """Rows of different columns under the union of their columns, of all lines."""
     return items_and_orders(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
 
@@ -339,8 +325,8 @@ SELECT _seq, CASE WHEN _seq % 10 = 0 AND chk <> 255 THEN 'checksum' WHEN _seq %
  CASE WHEN NOT (_seq % 10 = 0 AND chk <> 255) AND NOT (_seq % 10 <> 0 AND _seq % 17 = 0) THEN CASE WHEN mohm IN (0, 1) THEN NULL ELSE mohm END::INTEGER END AS resistance_mohm FROM c""")
 def frame_decode(spark, sf_dir):
     """Frames checked and decoded; sentinels are null."""
-    df = wire(spark, sf_dir).withColumn("r", frames.progress(F.col("frame")))
-    return df.select("_seq", F.coalesce(frames.reject_reason(F.col("frame")), F.lit("ok")).alias("verdict"), F.col("r.voltage_mv").alias("voltage_mv"), F.col("r.resistance_mohm").alias("resistance_mohm"))
+    df = wire(spark, sf_dir).withColumn("d", frames.decoded(F.col("frame")))
+    return df.select("_seq", F.coalesce("d.reject_reason", F.lit("ok")).alias("verdict"), F.col("d.reading.voltage_mv").alias("voltage_mv"), F.col("d.reading.resistance_mohm").alias("resistance_mohm"))
 
 
 def values(names: dict[int, str]) -> str:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from amperflow.plans.catalogue import ORACLES, QUERIES
+from amperflow.plans.proofs import ORACLES, QUERIES
 
 from .oracle import compare, connect
 
@@ -27,7 +27,7 @@ def test_entry(spark):
 
 
 def test_files_of_all_series(spark):
-    files = QUERIES["file_sequence_names_whole"](spark, SF)
+    files = QUERIES["file_sequence_names"](spark, SF)
     events = spark.read.parquet(f"{SF}/events.parquet")
     series = {f"user-{r.user_id}" for r in events.select("user_id").distinct().collect()}
     assert {r.series_id for r in files.select("series_id").distinct().collect()} == series
@@ -36,4 +36,4 @@ def test_files_of_all_series(spark):
 
 def test_union_of_all_lines(spark):
     count = lambda name: spark.read.parquet(f"{SF}/{name}.parquet").count()
-    assert QUERIES["union_ragged_whole"](spark, SF).count() == count("lineitem") + count("orders")
+    assert QUERIES["union_ragged"](spark, SF).count() == count("lineitem") + count("orders")
