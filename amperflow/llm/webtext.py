@@ -3,15 +3,18 @@
 Pages of one host are parsed into trees of blocks and aligned by simple tree matching with a
 template that grows as pages are aligned. A template node (slot) whose text stays the same from
 page to page belongs to the host's template; slots whose text varies hold content. Slots that by
-their element or class are menus, headers, footers, sidebars, notices, adverts, forms or reader
-comments are never content, whatever varies in them. Of the rest, the subtree that holds most of the
-varying text (an article or main element where there is one) is the main text.
+their element, or by a class, id or role that names nothing else, are menus, headers, footers,
+sidebars, notices, adverts, forms or reader comments are never content, whatever varies in them. A
+name that only contains such a word (``related-work``, ``share-price``) is weak evidence: the slot
+goes where links make up half of its text over all pages. Of the rest, the subtree that holds most of
+the varying text (an article or main element where there is one) is the main text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,6 +27,7 @@ from .common import table
 GROUP = 64  # pages of a host that are aligned together, at most
 PART, MOST_LARGE = 4, 100_000  # such groups in a part of a large host; large hosts that are dealt into parts (the largest ones)
 CONSTANT_PAGES, CONSTANT_SHARE, COPY_SHARE = 5, 0.6, 0.5
+TABLE = 40_000  # cells of a matching of two lists of children
 
 #: Elements of HTML by their part in the tree. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,129 +38,192 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 #: Elements, and words of class, id or role, that are not main text. Fixed values.
 OUTSIDE = frozenset("head nav footer aside form script style title textarea noscript template iframe noframes noembed xmp svg math button select option input dialog object canvas audio video menu".split())
 OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments disqus respond cookie cookies consent gdpr notice notices alert banner newsletter subscribe subscription signup login share sharing social related recommended popup modal masthead topbar toolbar pagination pager widget search complementary contentinfo".split())
+#: Last words of compound names (``comment-list``, ``cookie-box``) that say no more than that it is a part of a page, and words of names for a layout. Fixed values.
+PARTS = frozenset("area bar block body box bottom button buttons col column container content form group header icon icons inner item items left link links list message outer overlay pane panel post posts right row section slot stories title top unit widgets wrap wrapper".split())
+LAYOUT = frozenset("has no with without hide full".split())
 MAIN = frozenset(("article", "main"))
+LINKED = 0.5
 
-TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+(?:>|\Z)""", re.S)
+TAG = re.compile(r"""(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+PLAIN_TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+COMMENT_END = re.compile("--!?>")
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
+def named_outside(value: str) -> bool | None:
+    """Whether a class, id or role names a part that is not main text; None where a word in it only hints at that."""
+    hint = False
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+        if OUTSIDE_WORDS.isdisjoint(words) or not LAYOUT.isdisjoint(words):
+            continue
+        last = words[-1]
+        if last in OUTSIDE_WORDS or last in PARTS or last.isdigit():
+            return True
+        hint = True
+    return None if hint else False
+
+
 class Node:
     """An element: ``label`` is its tag and class words; ``items`` its texts and elements in order."""
 
-    __slots__ = ("tag", "label", "items", "outside")
+    __slots__ = ("tag", "label", "items", "outside", "hinted")
 
     def __init__(self, tag: str, attributes: str, within_main: bool):
-        self.tag, self.items = tag, []
-        words = ()
+        self.tag, self.items, self.hinted = tag, [], False
+        words, named = (), False
         if attributes and "=" in attributes:
-            words = tuple(sorted({w for _, v in ATTRIBUTE.findall(attributes) for w in re.split(r"[^a-z0-9]+", v.strip("\"'").lower()) if w}))
+            values = [v.strip("\"'").lower() for _, v in ATTRIBUTE.findall(attributes)]
+            words = tuple(sorted({w for v in values for w in re.split(r"[^a-z0-9]+", v) if w}))
+            if words and tag not in ("html", "body", *MAIN) and not OUTSIDE_WORDS.isdisjoint(words):
+                told = [named_outside(v) for v in values]
+                named, self.hinted = True in told, None in told
         self.label = (tag, words)
-        self.outside = tag in OUTSIDE or (tag == "header" and not within_main) or (bool(words) and tag not in ("html", "body", *MAIN) and not OUTSIDE_WORDS.isdisjoint(words))
+        self.outside = tag in OUTSIDE or (tag == "header" and not within_main) or named
+
+
+class Open:
+    """The open elements of a page; where each tag was opened last is known, so no search walks down the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks, self.main = [root], {}, [0], 0
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of some tags, or 0."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def push(self, node: Node) -> None:
+        k = len(self.stack)
+        self.stack.append(node)
+        self.at.setdefault(node.tag, []).append(k)
+        if node.tag not in INLINE:
+            self.blocks.append(k)
+        self.main += node.tag in MAIN
+
+    def close(self, k: int) -> None:
+        """Close the element at place ``k`` and all within it."""
+        for node in reversed(self.stack[k:]):
+            self.at[node.tag].pop()
+            self.main -= node.tag in MAIN
+        while self.blocks[-1] >= k:
+            self.blocks.pop()
+        del self.stack[k:]
+
+
+def tokens(page: str) -> Iterator[tuple[str, str | None, str, str, int]]:
+    """(text before, "/" or "", tag, attributes, end) of each tag, the last with tag None; send() a place to go on from.
+
+    Linear: what no ``>`` follows is text, and after a tag whose quotes never close quotes count no more.
+    """
+    at, begin, last, quotes = 0, 0, page.rfind(">"), True
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last:
+            # A comment or declaration that never ends hides the rest.
+            hidden = at >= 0 and page.startswith(("<!", "<?"), at)
+            yield page[begin : at if hidden else len(page)], "", None, "", len(page)
+            return
+        if page.startswith("<!--", at):
+            m = COMMENT_END.search(page, at + 4)
+            skip = m.end() if m else len(page)
+        elif page.startswith(("<!", "<?"), at):
+            skip = page.find(">", at) + 1 or len(page)
+        else:
+            m = TAG.match(page, at + 1) if quotes else None
+            if not m and (m := PLAIN_TAG.match(page, at + 1)):
+                quotes = False
+            if not m:
+                at += 1
+                continue
+            text, end = page[begin:at], m.end()
+            at = begin = (yield text, m[1], m[2].lower(), m[3], end) or end
+            continue
+        if page[begin:at]:
+            yield page[begin:at], "", "", "", skip
+        at = begin = skip
 
 
 def parse(page: str) -> Node:
     """The tree of a page, with the end tags that HTML lets authors leave out."""
     root = Node("#root", "", False)
-    stack, at, main = [root], 0, 0
+    opened, found, go_on = Open(root), tokens(page), None
     while True:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text and not text.isspace():
-            stack[-1].items.append(html.unescape(text) if "&" in text else text)
-        elif text:
-            stack[-1].items.append(" ")
-        if not m:
+        try:
+            text, end, tag, attributes, at = found.send(go_on)
+        except StopIteration:
             return root
-        at = m.end()
-        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        go_on = None
+        if text:
+            opened.stack[-1].items.append(" " if text.isspace() else html.unescape(text) if "&" in text else text)
         if not tag:
             continue
-        tag = tag.lower()
         if end:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    main -= sum(x.tag in MAIN for x in stack[k:])
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break  # a stray end tag of an inline element closes no block
+            k = opened.last((tag,))
+            # A stray end tag of an inline element closes no block.
+            if k and not (tag in INLINE and opened.blocks[-1] > k):
+                opened.close(k)
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
                 stop = RAW_END[tag].search(page, at)
-                at = stop.end() if stop else len(page)
+                go_on = stop.end() if stop else len(page)
             continue
         close, fence = SIBLINGS.get(tag, ((), ()))
-        if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in fence:
-                    break
-                if stack[k].tag in close:
-                    del stack[k:]
-                    if tag != "tr":
-                        break
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag not in INLINE:
-                    break
-        node = Node(tag, attributes, main > 0)
-        stack[-1].items.append(node)
+        while close and (k := opened.last(close)) > opened.last(fence):
+            opened.close(k)
+            if tag != "tr":
+                break
+        if tag in CLOSES_P and opened.stack[opened.blocks[-1]].tag == "p":
+            opened.close(opened.blocks[-1])
+        node = Node(tag, attributes, opened.main > 0)
+        opened.stack[-1].items.append(node)
         if tag not in VOID and not attributes.endswith("/"):
-            stack.append(node)
-            main += tag in MAIN
-
-
-class Block:
-    """A run of inline content of one element: its text, and the path of elements it stands under."""
-
-    __slots__ = ("text", "path", "outside")
-
-    def __init__(self, text: str, path: tuple, outside: bool):
-        self.text, self.path, self.outside = text, path, outside
+            opened.push(node)
 
 
 class Tree:
     """The block elements of a page; equal neighbours in structure are one repeated child."""
 
-    __slots__ = ("label", "children", "blocks", "outside", "shape")
+    __slots__ = ("label", "children", "outside", "hinted")
 
-    def __init__(self, label: tuple, outside: bool):
-        self.label, self.outside, self.children, self.blocks, self.shape = label, outside, [], [], None
+    def __init__(self, label: tuple, outside: bool, hinted: bool):
+        self.label, self.outside, self.hinted, self.children = label, outside, hinted, []
 
 
-def block_tree(root: Node) -> tuple[Tree, list[tuple[Tree, str]]]:
-    """The tree of block elements, and all texts in page order with the block element that holds each."""
-    top, order = Tree(root.label, root.outside), []
+def block_tree(root: Node) -> tuple[Tree, list[tuple[Tree, str, int]]]:
+    """The tree of block elements, and all texts in page order with the block element that holds each and how much of it is linked."""
+    top, order = Tree(root.label, root.outside, False), []
     pieces: list[str] = []
+    linked = 0
 
     def flush(tree: Tree) -> None:
+        nonlocal linked
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
-            order.append((tree, text))
+            order.append((tree, text, min(linked, len(text))))
+        linked = 0
 
-    # (node, its tree, whether the tree is the node's own, items still to come)
-    stack = [(root, top, True, iter(root.items), root.outside)]
+    # (node, its tree, whether the tree is the node's own, items still to come, whether outside, whether in a link)
+    stack = [(root, top, True, iter(root.items), root.outside, False)]
     while stack:
-        node, tree, own, items, outside = stack[-1]
+        node, tree, own, items, outside, link = stack[-1]
         for item in items:
             if isinstance(item, str):
                 pieces.append(item)
+                linked += len(item) if link else 0
             elif item.tag in INLINE and not item.outside:
                 if item.tag in ("br", "img"):
                     pieces.append(" ")
-                stack.append((item, tree, False, iter(item.items), outside))
+                stack.append((item, tree, False, iter(item.items), outside, link or item.tag == "a"))
                 break
             else:
                 flush(tree)
-                child = Tree(item.label, outside or item.outside)
+                child = Tree(item.label, outside or item.outside, item.hinted)
                 tree.children.append(child)
-                stack.append((item, child, True, iter(item.items), child.outside))
+                stack.append((item, child, True, iter(item.items), child.outside, link))
                 break
         else:
             stack.pop()
@@ -168,11 +235,11 @@ def block_tree(root: Node) -> tuple[Tree, list[tuple[Tree, str]]]:
 class Slot:
     """A node of a host's template: how many pages have it and which texts they had there."""
 
-    __slots__ = ("label", "children", "outside", "values", "mass", "pages")
+    __slots__ = ("label", "children", "outside", "hinted", "values", "mass", "linked", "pages")
 
     def __init__(self, tree: Tree):
-        self.label, self.outside, self.children = tree.label, tree.outside, []
-        self.values, self.mass, self.pages = Counter(), 0, 0
+        self.label, self.outside, self.hinted, self.children = tree.label, tree.outside, tree.hinted, []
+        self.values, self.mass, self.linked, self.pages = Counter(), 0, 0, 0
 
 
 def collapsed(trees: list[Tree]) -> list[tuple[Tree, list[Tree]]]:
@@ -187,26 +254,51 @@ def collapsed(trees: list[Tree]) -> list[tuple[Tree, list[Tree]]]:
 
 
 def matching(slots: list[Slot], trees: list[tuple[Tree, list[Tree]]], depth: int = 3) -> list[tuple[int, int]]:
-    """Pairs (slot, tree) of the best order-preserving match of two lists of children, by simple tree matching."""
-    if [s.label for s in slots] == [t.label for t, _ in trees]:
-        return [(k, k) for k in range(len(slots))]
+    """Pairs (slot, tree) of the best order-preserving match of two lists of children, by simple tree matching.
+
+    Equal labels at both ends are matched as they stand. What is left in between is matched by
+    dynamic programming; where that would take more than ``TABLE`` cells, by the next equal label in order.
+    """
     n, m = len(slots), len(trees)
-    weight = [[size_matched(s, t, depth) for t, _ in trees] for s in slots]
+    head = 0
+    while head < min(n, m) and slots[head].label == trees[head][0].label:
+        head += 1
+    tail = 0
+    while tail < min(n, m) - head and slots[n - 1 - tail].label == trees[m - 1 - tail][0].label:
+        tail += 1
+    pairs = [(k, k) for k in range(head)]
+    ends = [(n - k, m - k) for k in range(tail, 0, -1)]
+    n, m = n - head - tail, m - head - tail
+    if not n or not m:
+        return pairs + ends
+    if n * m > TABLE:
+        at = {}
+        for i in range(head, head + n):
+            at.setdefault(slots[i].label, []).append(i)
+        least = head
+        for j in range(head, head + m):
+            places = at.get(trees[j][0].label, [])
+            k = bisect_left(places, least)
+            if k < len(places):
+                pairs.append((places[k], j))
+                least = places[k] + 1
+        return pairs + ends
+    weight = [[size_matched(s, t, depth) for t, _ in trees[head : head + m]] for s in slots[head : head + n]]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             w = weight[i][j]
             best[i][j] = max(best[i + 1][j], best[i][j + 1], w + best[i + 1][j + 1] if w else 0)
-    pairs, i, j = [], 0, 0
+    i = j = 0
     while i < n and j < m:
         if weight[i][j] and best[i][j] == weight[i][j] + best[i + 1][j + 1]:
-            pairs.append((i, j))
+            pairs.append((head + i, head + j))
             i, j = i + 1, j + 1
         elif best[i][j] == best[i + 1][j]:
             i += 1
         else:
             j += 1
-    return pairs
+    return pairs + ends
 
 
 def size_matched(slot: Slot, tree: Tree, depth: int) -> int:
@@ -247,6 +339,20 @@ class Wrapper:
                 todo.append((target, group))
         return of
 
+    def judge_hints(self) -> None:
+        """Slots whose name only hints at it are outside where links make up half of their text, or where they hold none."""
+        stack, order = [self.root], []
+        while stack:
+            s = stack.pop()
+            order.append(s)
+            stack += s.children
+        totals: dict[int, tuple[int, int]] = {}
+        for s in reversed(order):
+            inner = [totals[id(c)] for c in s.children]
+            totals[id(s)] = s.mass + sum(t[0] for t in inner), s.linked + sum(t[1] for t in inner)
+            if s.hinted and totals[id(s)][1] >= LINKED * totals[id(s)][0]:
+                s.outside = True
+
     def main_slot(self) -> Slot:
         """The slot that holds the main text: down from the root while one child holds most varying text."""
         varying: dict[int, int] = {}
@@ -281,14 +387,16 @@ def main_texts(pages: list[str | None]) -> list[str]:
             continue
         top, order = block_tree(parse(page))
         of = wrapper.align(top)
-        for tree, text in order:
+        for tree, text, linked in order:
             slot = of[id(tree)]
             slot.mass += len(text)
+            slot.linked += linked
             if len(slot.values) < 4096:
                 slot.values[hash(text)] += 1
         parsed.append((top, order, of))
     if wrapper.root is None:
         return [""] * len(pages)
+    wrapper.judge_hints()
     main = wrapper.main_slot()
     under, stack = set(), [main]
     while stack:
@@ -297,7 +405,7 @@ def main_texts(pages: list[str | None]) -> list[str]:
             under.add(id(s))
             stack += s.children
     kept: list[list[tuple[int, str]] | None] = [
-        None if p is None else [(id(p[2][id(t)]), text) for t, text in p[1] if id(p[2][id(t)]) in under and not t.outside] for p in parsed
+        None if p is None else [(id(p[2][id(t)]), text) for t, text, _ in p[1] if id(p[2][id(t)]) in under and not t.outside] for p in parsed
     ]
     # Blocks that most of the host's different pages repeat in one slot are template; copies of pages are no evidence.
     distinct = list({tuple(b): b for b in kept if b}.values())
@@ -375,4 +483,5 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def op1_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page of ``pages``; see :func:`extract`."""
     return extract(table(spark, sf_dir, "pages"))

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -31,6 +33,64 @@ def test_pages_without_article():
     assert W.main_texts(pages)[2] == "Story 2 begins here and goes on.\n\nMore of story 2."
 
 
+def test_names_that_only_hint_keep_their_text():
+    inner = '<div class="related-work"><p>Others found {k} before.</p></div><section class="search-methods"><p>We searched {k} times.</p></section><div class="share-price"><p>It cost {k}.</p></div>'
+    links = '<div class="related-reading"><a href="/x{k}">One more {k}</a> <a href="/y">another</a></div><div class="comment-list"><p>Nice {k}</p></div><div class="cookie-banner">We use cookies {k}</div><div id="sidebar-left">n{k}</div>'
+    texts = W.main_texts([page(k, f"<p>Text {k}.</p>" + inner.format(k=k) + links.format(k=k)) for k in range(7)])
+    assert texts[3] == "Head 3\n\nText 3.\n\nOthers found 3 before.\n\nWe searched 3 times.\n\nIt cost 3."
+    assert W.named_outside("page with-sidebar") is False and W.named_outside("site-footer") is True and W.named_outside("share-price") is None
+
+
+def best_match(a, b):
+    """The size of the largest order-preserving match of two ordered trees whose roots are equal, by trying all."""
+    if a[0] != b[0]:
+        return 0
+
+    def rows(x, y):
+        if not x or not y:
+            return 0
+        w = best_match(x[0], y[0])
+        return max(rows(x[1:], y), rows(x, y[1:]), w + rows(x[1:], y[1:]) if w else 0)
+
+    return 1 + rows(a[1], b[1])
+
+
+def test_simple_tree_matching_against_all_matches():
+    rng = random.Random(12)
+
+    def some(depth):
+        kids = [some(depth - 1) for _ in range(rng.randint(0, 3))] if depth else []
+        # Neighbours of one label would be one repeated child.
+        return rng.choice("abc"), [k for i, k in enumerate(kids) if not i or kids[i - 1][0] != k[0]]
+
+    def tree(t):
+        out = W.Tree((t[0], ()), False, False)
+        out.children = [tree(c) for c in t[1]]
+        return out
+
+    def slot(t):
+        out = W.Slot(tree(t))
+        out.children = [slot(c) for c in t[1]]
+        return out
+
+    below = 0
+    for _ in range(300):
+        a, b = some(3), some(3)
+        b = (a[0], b[1])
+        got, want = W.size_matched(slot(a), tree(b), 3), best_match(a, b)
+        assert got <= want
+        below += got < want
+    assert below <= 30  # equal labels at the ends are matched as they stand
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a ">" ', "<div>", "</x>", "<b><div>", "</b>", "<li>", "<p><i>", "<td><tr>", "&amp;", "<!-- "])
+def test_long_pages_of_one_piece(piece):
+    start = time.time()
+    for end in ("", "</b>" * 20_000, ">"):
+        W.main_texts([piece * (600_000 // len(piece)) + end])
+    assert time.time() - start < 30
+
+
 @pytest.mark.parametrize("bad", ["<", "<p", "a < b", "<p title=\"x>y", "</p></b>", "<b>" * 3000 + "x", "<div>" * 3000 + "deep", "<script>never ends", "<p>" * 2000, "&#xZZ; &bogus;"])
 def test_broken_pages(bad):
     assert isinstance(W.main_texts([bad, page(1, "<p>x</p>")])[1], str)
