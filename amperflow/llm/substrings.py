@@ -209,8 +209,10 @@ def _several(group: np.ndarray, inner: np.ndarray) -> np.ndarray:
 
 
 def settle_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, over rows sorted by anchor: what can be removed, and requests for runs that may share more."""
-    carry = None
+    """Step 2, over rows sorted by anchor: what can be removed, and requests for runs that may share more.
+
+    Memory: the different contexts of one anchor, about 100 bytes each.
+    """
 
     def groups(h, x, doc, y) -> Iterator[pa.RecordBatch]:
         gram, context, left = h >> np.int64(16), x >> np.int64(24), x & np.int64(OWN)
@@ -233,22 +235,26 @@ def settle_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if ask.any():
                 yield _batch(ASK, gram[ask], None, doc[ask], y[ask])
 
+    held: list[list[np.ndarray]] = []  # the last anchor so far: it may go on, through many batches
     for batch in batches:
         still = batch.column("kind").to_numpy() == OPEN
         if not still.all():
             yield batch.filter(pa.array(~still))
             batch = batch.filter(pa.array(still))
         part = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "x", "doc_id", "y")]
-        part = [np.concatenate(v) for v in zip(carry, part, strict=True)] if carry else part
         if not len(part[0]):
             continue
         gram = part[0] >> np.int64(16)
-        last = int(np.searchsorted(gram, gram[-1]))  # the last anchor may go on in the next batch
-        carry = [v[last:] for v in part]
+        if held and gram[0] != held[0][0][0] >> np.int64(16):
+            yield from groups(*(np.concatenate(v) for v in zip(*held, strict=True)))
+            held = []
+        last = int(np.searchsorted(gram, gram[-1]))
         if last:
-            yield from groups(*(v[:last] for v in part))
-    if carry and len(carry[0]):
-        yield from groups(*carry)
+            yield from groups(*(np.concatenate([*(h[k] for h in held), v[:last]]) for k, v in enumerate(part)))
+            held = []
+        held.append([v[last:] for v in part])
+    if held:
+        yield from groups(*(np.concatenate(v) for v in zip(*held, strict=True)))
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,4 +370,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each whole text of ``documents`` an earlier one has too; see :func:`remove_repeats`."""
     return remove_repeats(table(spark, sf_dir, "documents"))
