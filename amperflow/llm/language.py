@@ -12,15 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import byte_slices, table
 
 UNITS, STEPS, BATCH, WIDTH = 8, 300, 192, 64
-#: Bounds of the training sample: documents per language, bytes taken of each.
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 1024
+#: Bounds of the training sample: documents per language, windows of each.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 16
 #: Languages up to which the steps are enough; with more of them steps grow, and batches of windows shrink, in proportion.
 LANGUAGES = 64
 UNKNOWN = "und"
@@ -166,20 +166,25 @@ class Network:
 
 
 def labelled_windows(docs: DataFrame, languages: list[str], counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte windows and labels of a bounded sample: about 400 documents a language, 1,024 characters of each from a place set by its hash."""
-    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, SAMPLE_DOCS / counts[lang])) for lang in languages], "lang string, __share double")
+    """Byte windows and labels of a bounded sample: the ``SAMPLE_DOCS`` documents a language with the least hashes, and ``SAMPLE_WINDOWS`` windows from places all over each, set by hash.
+
+    The sample depends on the rows alone, not on how they lie. Hashes above a bound that half as many
+    documents again reach are left out before anything is shuffled.
+    """
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, (1.5 * SAMPLE_DOCS + 50) / counts[lang])) for lang in languages], "lang string, __share double")
     h = F.xxhash64("doc_id", "text")
-    taken = docs.join(F.broadcast(shares), "lang").where(F.pmod(h, F.lit(1_000_003)) / 1_000_003.0 < F.col("__share"))
-    room = F.greatest(F.length("text") - SAMPLE_BYTES, F.lit(0)) + 1
-    rows = taken.select("lang", F.substring(F.col("text"), F.pmod(F.xxhash64("text"), room).cast("int") + 1, F.lit(SAMPLE_BYTES)).alias("part")).limit(4 * SAMPLE_DOCS * len(languages)).collect()
-    windows, labels, place = [], [], {lang: k for k, lang in enumerate(languages)}
-    for lang, part in sorted((r.lang, r.part) for r in rows):
-        raw = np.frombuffer(part.encode(), np.uint8)
-        for a in range(0, len(raw), WIDTH):
-            w = raw[a : a + WIDTH]
-            windows.append(np.pad(w, (0, WIDTH - len(w))))
+    taken = docs.withColumn("__h", h).join(F.broadcast(shares), "lang").where(F.pmod("__h", F.lit(1_000_003)) / 1_000_003.0 < F.col("__share"))
+    room = F.greatest(F.length("text") - WIDTH, F.lit(0)) + 1
+    windows = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda k: F.col("text").substr(F.pmod(F.xxhash64(F.col("__h"), k), room).cast("int") + 1, F.lit(WIDTH)))
+    order = Window.partitionBy("lang").orderBy(F.pmod("__h", F.lit(1_000_003)), "__h", "doc_id")
+    rows = taken.select("lang", "doc_id", "__h", windows.alias("parts")).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= SAMPLE_DOCS).select("lang", "parts").collect()
+    found, labels, place = [], [], {lang: k for k, lang in enumerate(languages)}
+    for lang, parts in sorted((r.lang, r.parts) for r in rows):
+        for part in parts:
+            w = np.frombuffer(part.encode(), np.uint8)[:WIDTH]
+            found.append(np.pad(w, (0, WIDTH - len(w))))
             labels.append(place[lang])
-    return np.array(windows, np.uint8).reshape(-1, WIDTH), np.array(labels, np.int64)
+    return np.array(found, np.uint8).reshape(-1, WIDTH), np.array(labels, np.int64)
 
 
 def held_out() -> Column:
@@ -208,7 +213,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     """``docs`` with columns ``lang_pred`` and ``score``; every row stays.
 
     Null texts and texts without a letter get ``und`` and score 0, as does all where nothing was
-    learned. Columns of these names that ``docs`` has already are replaced.
+    learned. Of equally likely languages the first by name is taken. Columns of these names that ``docs`` has already are replaced.
     """
     docs = docs.drop("lang_pred", "score")
     out = T.StructType([*docs.schema.fields, T.StructField("__ok", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -243,6 +248,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
 
 
 def op7_recurrent_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of ``documents``, learned from those that are not held out; see :func:`predict`."""
     docs = table(spark, sf_dir, "documents")
     found = predict(docs.select("doc_id", "text"), train_on(docs))
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
