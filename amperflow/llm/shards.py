@@ -110,4 +110,5 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucke
 
 
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in shards 0 to 7 by the law ``rows``; see :func:`assign_shards`."""
     return assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
