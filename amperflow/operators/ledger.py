@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash
 
 VERSION = 1
-INGESTED = "content_hash string, path string, recorded_at timestamp"
+INGESTED = "content_hash string, path string, recorded_at timestamp, length long, modified timestamp"
 QUARANTINED = "content_hash string, path string, reason string, quarantined_at timestamp"
 
 
@@ -52,9 +52,15 @@ class Ledger:
         """Files that are neither imported nor set aside; empty ones (null hash) always are new."""
         return files.join(self.ingested.select("content_hash"), "content_hash", "left_anti").join(self.quarantined.select("content_hash"), "content_hash", "left_anti")
 
+    def unseen(self, listing: DataFrame) -> DataFrame:
+        """Files of a listing (path, length, modified) that no entry names with the same size and time: only those need to be read."""
+        known = self._table("ingested", INGESTED).select("path", "length", "modified").where("modified is not null").distinct()
+        return listing.join(known, ["path", "length", "modified"], "left_anti")
+
     def record(self, files: DataFrame) -> None:
         """Call after the files' rows are written: a crash in between imports them again."""
-        files.where("content_hash is not null").select("content_hash", "path", F.current_timestamp().alias("recorded_at")).write.mode("append").parquet(f"{self.folder}/ingested")
+        seen = [F.col(c) if c in files.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("length", "long"), ("modified", "timestamp"))]
+        files.where("content_hash is not null").select("content_hash", "path", F.current_timestamp().alias("recorded_at"), *seen).write.mode("append").parquet(f"{self.folder}/ingested")
 
     def quarantine(self, files: DataFrame) -> int:
         """Set files (content_hash, path, reason) aside; the same reason again changes nothing. Returns how many entries changed."""
@@ -70,7 +76,19 @@ class Ledger:
             self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.folder}/{name}")
 
 
-def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """path, content_hash, content of the folder's flight logs (.txt and .dat in any case)."""
-    files = spark.read.format("binaryFile").load(folder).where(F.lower("path").rlike(r"\.(txt|dat)$"))
-    return files.select("path", content_hash(F.col("content")).alias("content_hash"), "content")
+def candidates(spark: SparkSession, folder: str, ledger: Ledger | None = None) -> DataFrame:
+    """path, length, modified, content_hash, content of the folder's flight logs (.txt and .dat in any case).
+
+    With a ledger, files that it has with the same size and time are listed and not read.
+    """
+    named = lambda df: df.where(F.lower("path").rlike(r"\.(txt|dat)$"))
+    files = spark.read.format("binaryFile")
+    if ledger:
+        left = ledger.unseen(named(files.load(folder)).select("path", "length", F.col("modificationTime").alias("modified")))
+        paths = [r.path for r in left.select("path").collect()]  # a listing, as the driver holds it anyway
+        if not paths:
+            return spark.createDataFrame([], "path string, length long, modified timestamp, content_hash string, content binary")
+        found = files.load(paths)
+    else:
+        found = named(files.load(folder))
+    return found.select("path", "length", F.col("modificationTime").alias("modified"), content_hash(F.col("content")).alias("content_hash"), "content")

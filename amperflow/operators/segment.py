@@ -1,7 +1,10 @@
-"""Segments of endless streams, their numbers and their file names. One shuffle key: the series."""
+"""Segments of endless streams, their numbers and their file names. Shuffles go by series and block of places."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,20 +13,45 @@ from ..functions import text
 DEFAULT = "default"
 
 
-def with_segments(df: DataFrame, rows: int | None = None, series: str = "series_id", run: str = "run_id", seq: str = "_seq") -> DataFrame:
+#: Places of a series that one task takes at most: series are cut into blocks of so many, and what happens at the cuts is carried over.
+BLOCK = 1 << 20
+
+
+def _carried(df: DataFrame, keys: list[str], before: dict[str, Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with what all earlier blocks of its series add up to: ``before`` (over a window of blocks) of the sums of each block."""
+    per = df.groupBy(*keys).agg(*(v.alias(k) for k, v in sums.items()))
+    per = per.select(*(F.col(k).alias(f"__of{i}") for i, k in enumerate(keys)), *(v.alias(k) for k, v in before.items()))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__of{i}")) for i, k in enumerate(keys)))
+    return df.join(per, same).drop(*(f"__of{i}" for i in range(len(keys))))
+
+
+def with_segments(df: DataFrame, rows: int | None = None, series: str = "series_id", run: str = "run_id", seq: str = "_seq", block: int = BLOCK) -> DataFrame:
     """``df`` with ``segment``: 1-based per series; a new one with every change of run and every ``rows`` rows.
 
-    A run that comes back starts another segment. Null series are one series, null runs one run.
+    A run that comes back starts another segment. Null series are one series, null runs one run. The
+    places of a series are cut into blocks, so that no series is one task: windows run within blocks,
+    and sums of blocks carry runs, counts and starts from one to the next.
     """
-    order = Window.partitionBy(series).orderBy(seq)
-    change = F.when(F.row_number().over(order) == 1, 1).when(F.col(run).eqNullSafe(F.lag(run).over(order)), 0).otherwise(1)
-    out = df.withColumn("__change", change)
-    out = out.withColumn("__island", F.sum("__change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    if not rows:
-        return out.withColumn("segment", F.col("__island").cast("long")).drop("__change", "__island")
-    within = Window.partitionBy(series, "__island").orderBy(seq)
-    out = out.withColumn("__turn", (F.row_number().over(within) - 1) % rows == 0)
-    return out.withColumn("segment", F.sum(F.col("__turn").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__change", "__island", "__turn")
+    keys = [series, "__block"]
+    cut = df.withColumn("__block", F.floor(F.col(seq) / block))
+    within, blocks = Window.partitionBy(*keys).orderBy(seq), Window.partitionBy(series).orderBy("__block")
+    earlier, up_to = blocks.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    opens = (F.row_number().over(blocks) == 1) | ~F.col("__run0").eqNullSafe(F.lag("__run1").over(blocks))
+    out = _carried(cut, keys, {"__opens": opens, "__before": total("__n")}, {"__run0": F.min_by(run, seq), "__run1": F.max_by(run, seq), "__n": F.count("*")})
+    place = F.row_number().over(within)
+    change = F.when(place == 1, F.col("__opens")).otherwise(~F.col(run).eqNullSafe(F.lag(run).over(within)))
+    out = out.withColumn("__change", change).withColumn("__at", F.col("__before") + place)
+    turn = F.col("__change")
+    if rows:
+        start = F.when(F.col("__change"), F.col("__at"))
+        out = _carried(out, keys, {"__start": F.max("__last").over(earlier)}, {"__last": F.max(start)})
+        began = F.coalesce(F.max(start).over(up_to), F.col("__start"))
+        turn = (F.col("__at") - began) % rows == 0
+    out = out.withColumn("__turn", turn.cast("long"))
+    out = _carried(out, keys, {"__turned": total("__turns")}, {"__turns": F.sum("__turn")})
+    out = out.withColumn("segment", (F.col("__turned") + F.sum("__turn").over(up_to)).cast("long"))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), "segment")
 
 
 def manifest(df: DataFrame, series: str = "series_id", run: str = "run_id", seq: str = "_seq") -> DataFrame:

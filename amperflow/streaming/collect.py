@@ -89,7 +89,7 @@ def import_flights(spark: SparkSession, folder: str, out: str, ledger_dir: str,
     before the ledger is written imports the same files again, into new feed files.
     """
     ledger = Ledger(spark, ledger_dir)
-    new = ledger.new(candidates(spark, folder)).dropDuplicates(["content_hash"]).withColumn("csv", readable("content")).drop("content")
+    new = ledger.new(candidates(spark, folder, ledger)).dropDuplicates(["content_hash"]).withColumn("csv", readable("content")).drop("content")
     new = new.cache()
     try:
         seen = new.agg(F.count("content_hash").alias("files"), F.count_if(F.col("content_hash").isNull()).alias("empty")).first()

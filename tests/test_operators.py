@@ -138,3 +138,32 @@ def test_ledger(spark, tmp_path):
     (tmp_path / "l" / ".ledger.json.crc").unlink(missing_ok=True)
     with pytest.raises(ValueError, match="version"):
         ledger.Ledger(spark, f"{tmp_path}/l")
+
+
+def test_segments_do_not_depend_on_blocks(spark):
+    import random
+
+    from amperflow.operators import segment
+
+    rng = random.Random(3)
+    rows, run = [], "a"
+    for k in range(400):
+        run = rng.choice(["a", "b", None]) if rng.random() < 0.15 else run
+        rows.append((rng.choice(["s", "t", None]) if k > 150 else "s", run, 3 * k, "c"))
+    df = spark.createDataFrame(rows, "series_id string, run_id string, _seq long, segment0 string")
+    want, state = {}, {}
+    for s, r, q, _ in rows:
+        last, n, count = state.get(s, (object(), 0, 0))
+        n, count = (n + 1, 1) if last != r or s not in state else (n, count + 1)
+        state[s] = (r, n, count)
+        want[q] = n
+    for block in (7, 64, 1 << 20):
+        assert {r._seq: r.segment for r in segment.with_segments(df, block=block).collect()} == want
+        turns = {r._seq: r.segment for r in segment.with_segments(df, rows=4, block=block).collect()}
+        state = {}
+        for s, r, q, _ in rows:
+            last, n, count = state.get(s, (object(), 0, 0))
+            n, count = (n + 1, 1) if s not in state or last != r or count == 4 else (n, count + 1)
+            state[s] = (r, n, count)
+            assert turns[q] == n, (block, s, q)
+    assert segment.with_segments(df).columns == [*df.columns, "segment"]
