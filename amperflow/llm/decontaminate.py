@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 WORDS, THRESHOLD = 5, 80  # per cent
-#: Sketch rows up to which the sketches are broadcast (about 40 bytes each); beyond, both sides shuffle.
+#: Rows up to which sketches (20 bytes each) and keys of documents (8 bytes each) are broadcast, counted first; beyond, both sides shuffle.
 BROADCAST_ROWS = 200_000
 
 
@@ -41,10 +41,11 @@ def shingle_hashes(words: Column, n: int) -> Column:
 
 
 def item_sets(items: DataFrame, n: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """item_id, shingle size ``n`` (fewer for shorter items), set ``hashes``, set size ``q``, needed matches, sketch.
+    """item_id, set_id, shingle size ``n`` (fewer for shorter items), set ``hashes``, set size ``q``, needed matches, sketch.
 
-    Items are told apart by their set: item_id may repeat or be null. Items without a word have
-    no set and are left out. ``part`` is the size partition: sets of q up to twice its lower bound.
+    Items are told apart by their set (``set_id`` is a hash of it): item_id may repeat or be null, and
+    items of equal texts share a set. Items without a word have no set and are left out. ``part`` is the
+    size partition: sets of q up to twice its lower bound.
     """
     w = items.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("n", F.least(F.size("w"), F.lit(n)))
@@ -52,7 +53,7 @@ def item_sets(items: DataFrame, n: int = WORDS, threshold: int = THRESHOLD) -> D
     for k in range(1, n + 1):
         sized = F.when(F.col("n") == k, shingle_hashes(F.col("w"), k)).otherwise(sized)
     sets = w.select("item_id", "n", F.array_sort(sized).alias("hashes")).distinct()
-    sets = sets.withColumn("q", F.size("hashes")).withColumn("need", F.ceil(F.col("q") * threshold / 100).cast("int"))
+    sets = sets.withColumn("q", F.size("hashes")).withColumn("need", F.ceil(F.col("q") * threshold / 100).cast("int")).withColumn("set_id", F.xxhash64("n", "hashes"))
     # Within a size partition the bound of its largest set holds; a set has no more values than that.
     sets = sets.withColumn("part", F.floor(F.log2("q")).cast("int"))
     allowed = (F.pow(F.lit(2), F.col("part") + 1).cast("int") - 1) - F.ceil((F.pow(F.lit(2), F.col("part") + 1) - 1) * threshold / 100).cast("int")
@@ -60,31 +61,37 @@ def item_sets(items: DataFrame, n: int = WORDS, threshold: int = THRESHOLD) -> D
     return sets
 
 
+def few(df: DataFrame, rows: int) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
 def contained_items(docs: DataFrame, items: DataFrame, n: int = WORDS, threshold: int = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment), one row per document and item it contains.
 
     Null texts and texts without words contain nothing; repeated rows of documents or items give
-    one row; rows with a null doc_id or item_id are compared like others. The sketches are
-    broadcast only while they have at most ``broadcast_rows`` rows (counted first).
+    one row; rows with a null doc_id or item_id are compared like others. Broadcast are only pairs
+    of a sketch value and a set's id, and keys of documents that hold a sketch value, each while they
+    have at most ``broadcast_rows`` rows (counted first); never sets or texts. A document is known by
+    a hash of its text, so copies of a text are candidates once.
     """
-    items = item_sets(items, n, threshold)
+    items = written(item_sets(items, n, threshold), "items")
     sizes = sorted(r[0] for r in items.select("n").distinct().collect())  # at most n values
-    sketches = items.select("n", F.explode("sketch").alias("h")).distinct()
-    small = sketches.limit(broadcast_rows + 1).count() <= broadcast_rows
-    near = F.broadcast if small else lambda df: df
+    sketches = items.select("n", "set_id", F.explode("sketch").alias("h")).distinct()
+    near = F.broadcast if few(sketches, broadcast_rows) else lambda df: df
+    sets = items.select("set_id", "q", "need", "hashes").dropDuplicates(["set_id"])
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("key"), "text").where(F.length("text") > 0)
     result = None
     for k in sizes:  # 5, and the lengths of shorter items if there are any
-        with_sets = lambda df: df.withColumn("__own", shingle_hashes(words_of(F.col("text")), k))  # noqa: E731, B023
-        sketch = sketches.where(F.col("n") == k).select("h")
-        hit = with_sets(texts).select("doc_id", "key", F.explode_outer("__own").alias("h")).join(near(sketch), "h", "left_semi").select("doc_id", "key", "h").distinct()
+        own = lambda df: df.withColumn("__own", shingle_hashes(words_of(F.col("text")), k))  # noqa: E731, B023
+        sketch = sketches.where(F.col("n") == k).select("h", "set_id")
+        hit = own(texts).select("key", F.explode("__own").alias("h")).join(near(sketch), "h").select("key", "set_id").distinct()
+        hit = written(hit, "candidates")
         # Only documents that share a sketch value come back with their whole sets.
-        sets = items.where(F.col("n") == k).select("item_id", "q", "need", "hashes", F.explode("sketch").alias("h"))
-        pairs = hit.join(near(sets) if small else sets, "h").select("doc_id", "key", "item_id", "q", "need", "hashes").dropDuplicates(["doc_id", "key", "item_id", "hashes"])
-        own = texts.withColumnRenamed("doc_id", "own_id").withColumnRenamed("key", "own_key")
-        checked = own.join(pairs, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("key")))
-        checked = with_sets(checked).withColumn("n_shared", F.size(F.array_intersect("hashes", "__own")).cast("long"))
-        found = checked.where(F.col("n_shared") >= F.col("need")).select("doc_id", "item_id", F.col("q").cast("long").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment"))
+        keys = hit.select("key").distinct()
+        back = texts.join(F.broadcast(keys) if few(keys, broadcast_rows) else keys, "key", "left_semi")
+        checked = own(back).select("doc_id", "key", "__own").join(hit, "key").join(sets, "set_id")
+        checked = checked.withColumn("n_shared", F.size(F.array_intersect("hashes", "__own")).cast("long")).where(F.col("n_shared") >= F.col("need"))
+        found = checked.join(items.select("set_id", "item_id").distinct(), "set_id").select("doc_id", "item_id", F.col("q").cast("long").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment"))
         result = found if result is None else result.unionByName(found)
     if result is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id")).limit(0).selectExpr("doc_id", "cast(null as bigint) item_id", "0L n_item", "0L n_shared", "0D containment")
@@ -97,13 +104,14 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     Rows are matched by doc_id and text, so that of rows that share a doc_id only those with an
     item go. Rows with a null doc_id can go as well.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
     texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    bad = contained_items(texts, items, **how).select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(bad, "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    bad = written(contained_items(texts, items, **how).select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
+    bad = F.broadcast(bad) if few(bad, how.get("broadcast_rows", BROADCAST_ROWS)) else bad
+    return docs.withColumn("__key", F.xxhash64("text")).join(bad, "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_containment_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of ``benchmark`` that each document contains; see :func:`contained_items`."""
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
