@@ -58,6 +58,11 @@ def write_parquet(frames: list[DataFrame], path: str, metadata: dict | None = No
     return False
 
 
+def write_frame(df: DataFrame, path: str, metadata: dict | None = None) -> bool:
+    """One frame, as :func:`write_parquet` writes several."""
+    return write_parquet([df], path, metadata)
+
+
 def unused(spark: SparkSession, path: str) -> str:
     """The path, or the first with a number that nothing is at."""
     for n in range(1000):

@@ -19,6 +19,9 @@ BUILT_IN = {
     "phone": "amperflow.sources.catalog:phone",
     "packs": "amperflow.sources.catalog:packs",
 }
+#: Sinks: functions of a DataFrame, a target and options.
+SINK_GROUP = "amperflow.sinks"
+BUILT_IN_SINKS = {"feed": "amperflow.sinks.feed:write_feed", "push": "amperflow.sinks.push:push_rows", "parquet": "amperflow.sinks.parquet:write_frame"}
 
 
 def _load(target: str) -> Callable:
@@ -26,24 +29,40 @@ def _load(target: str) -> Callable:
     return getattr(importlib.import_module(module), name)
 
 
-def available_sources() -> dict[str, Callable]:
-    """All sources that load; a broken one is skipped with a warning, and never hides a built-in."""
+def _available(built_in: dict[str, str], group: str) -> dict[str, Callable]:
     found = {}
-    for name, target in [*BUILT_IN.items(), *((e.name, e) for e in entry_points(group=GROUP) if e.name not in BUILT_IN)]:
+    for name, target in [*built_in.items(), *((e.name, e) for e in entry_points(group=group) if e.name not in built_in)]:
         try:
             found[name] = _load(target) if isinstance(target, str) else target.load()
         except Exception as e:  # noqa: BLE001 -- whatever a third party's module raises
-            log.warning("source %s cannot be loaded: %s", name, e)
+            log.warning("%s %s cannot be loaded: %s", group, name, e)
     return found
 
 
-def source(name: str) -> Callable:
-    known = available_sources()
+def _named(known: dict[str, Callable], name: str, what: str) -> Callable:
     if name not in known:
-        raise KeyError(f"no source {name!r}; there are {', '.join(sorted(known))}")
+        raise KeyError(f"no {what} {name!r}; there are {', '.join(sorted(known))}")
     return known[name]
 
 
+def available_sources() -> dict[str, Callable]:
+    """All sources that load; a broken one is skipped with a warning, and never hides a built-in."""
+    return _available(BUILT_IN, GROUP)
+
+
+def source(name: str) -> Callable:
+    return _named(available_sources(), name, "source")
+
+
+def available_sinks() -> dict[str, Callable]:
+    """All sinks that load, under the same rules."""
+    return _available(BUILT_IN_SINKS, SINK_GROUP)
+
+
+def sink(name: str) -> Callable:
+    return _named(available_sinks(), name, "sink")
+
+
 def options(name: str) -> dict[str, object]:
     """A source's options and their defaults (no default: required)."""
     return {p.name: None if p.default is p.empty else p.default for p in list(inspect.signature(source(name)).parameters.values())[1:]}

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from amperflow.functions.redact import Scrubber
 from amperflow.operators import ledger
-from amperflow.sinks import feed, parquet, push
+from amperflow.sinks import feed, parquet, push, validate
 from amperflow.sources import catalog, charger, registry, simulator, tape
 from amperflow.streaming import buffer, cli, collect, config, segmenter, supervisor
 
@@ -313,6 +313,17 @@ def test_feed_of_nothing_and_series_info(spark, tmp_path):
     assert meta["metadata"] == {"site": "x", "chemistry": "LFP", "series_id": "A", "run_id": None, "segment": 1} and meta["started_at"] <= meta["finished_at"]
 
 
+def test_validated_feed(spark, tmp_path):
+    df = spark.createDataFrame([(k, "a,b" if k % 2 else "c", k * 1.0, 3.7, 'x "y", z') for k in range(6)], "_seq long, series_id string, test_time_second double, voltage_volt double, note string")
+    feed.write_feed(df, f"{tmp_path}/f", day="20240101")
+    assert validate.validate_feed(spark, f"{tmp_path}/f").collect() == []
+    (tmp_path / "f" / "bad.csv").write_text("test_time_second,voltage_volt,voltage_volt,run_id\n-1,x,1,r\n0,1\n")
+    (tmp_path / "f" / "LOCAL__c__20240101_001.meta.json").write_text('{"file": "LOCAL__c__20240101_001.bdf.csv", "rows": 9, "finalized": false}')
+    got = {(r.file, r.fault, r.rows) for r in validate.validate_feed(spark, f"{tmp_path}/f").collect()}
+    assert got == {("bad.csv", f, n) for f, n in [("name", 0), ("header", 0), ("repeated column", 0), ("routing column", 0), ("no description", 0), ("cells", 1), ("time is negative", 1), ("voltage_volt is no number", 1)]} | {("LOCAL__c__20240101_001.bdf.csv", f, 0) for f in ("not final", "rows")}
+    assert set(registry.BUILT_IN_SINKS) <= set(registry.available_sinks()) and registry.sink("feed") is feed.write_feed
+
+
 def test_descriptions_of_files_under_way(tmp_path, monkeypatch):
     monkeypatch.setattr(feed, "DESCRIBE_EVERY", 0.0)
     kinds = T.StructType([T.StructField(n, T.StringType()) for n in ("series_id", "run_id", "_seq", "segment", "_cell", "_info", "test_time_second")])
