@@ -29,7 +29,7 @@ from .neardup_features import BANDS, bands_of
 from .shingles import mix, shingle_hashes
 
 NUM, DEN = 80, 100  # link where DEN * intersection >= NUM * union
-LONGS = 16
+LONGS, SIDE = 16, 256
 
 
 def digests(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -146,12 +146,16 @@ def assign_groups(docs: DataFrame, n: int = 4) -> DataFrame:
     held = member.join(roots, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root"))
     held = written(held, "held")
     parts = held.groupBy("band", "value", "root").agg(F.count("*").alias("size"))
-    main = parts.groupBy("band", "value").agg(F.count("*").alias("parts"), F.max(F.struct("size", "root")).alias("main")).where("parts > 1")
-    open_ = held.join(main.select("band", "value", F.col("main.root").alias("main")), ["band", "value"]).join(info.select("node", "n_shingles", "parity", "bands"), "node")
-    open_ = written(open_, "open")
-    x, y = open_.where("root <> main").alias("x"), open_.alias("y")
+    main = parts.groupBy("band", "value").agg(F.count("*").alias("parts"), F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("members")).where("parts > 1")
+    # A large bucket is dealt into blocks of about 256 nodes; a node outside the main component meets one block a row.
+    main = main.select("band", "value", F.col("main.root").alias("main"), F.ceil(F.col("members") / SIDE).cast("int").alias("blocks"))
+    open_ = held.join(main, ["band", "value"]).join(info.select("node", "n_shingles", "parity", "bands"), "node")
+    open_ = written(open_.withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks").cast("long")).cast("int")), "open")
+    x = open_.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+    y = open_.alias("y")
     apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    more = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & apart & may_link("x", "y") & first_met("x", "y"))
+    same = reduce(and_, (F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "value", "block")))
+    more = x.join(y, same & apart & may_link("x", "y") & first_met("x", "y"))
     more = more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     found = components(links.union(verified(more, sets)))
 
@@ -188,4 +192,22 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
 
 
 def op5_circulant_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all ``documents``, on 4-word shingles; see :func:`assign_groups`."""
     return assign_groups(table(spark, sf_dir, "documents")).drop("key")
+
+
+ORACLE = r"""
+WITH RECURSIVE doc AS (SELECT DISTINCT doc_id, text FROM documents),
+words AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM doc),
+place AS (SELECT doc_id, text, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM words WHERE len(w) > 0),
+gram AS (SELECT DISTINCT doc_id, text, array_to_string(w[i:i + 3], ' ') AS g FROM place),
+sets AS (SELECT doc_id, text, list_sort(list(g)) AS gs, count(*) AS n FROM gram GROUP BY doc_id, text),
+node AS (SELECT row_number() OVER (ORDER BY gs) AS node, gs, n, min(doc_id) AS least FROM (SELECT gs, n, doc_id FROM sets) GROUP BY gs, n),
+held AS (SELECT node, n, unnest(gs) AS g FROM node),
+pair AS (SELECT a.node AS a, b.node AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS k FROM held a JOIN held b ON a.g = b.g AND a.node <> b.node AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY a.node, b.node),
+link AS (SELECT a, b FROM pair WHERE 100 * k >= 80 * (m + n - k)),
+reach(node, other) AS (SELECT node, node FROM node UNION SELECT reach.node, link.b FROM reach JOIN link ON reach.other = link.a),
+root AS (SELECT reach.node, min(o.least) AS component_id FROM reach JOIN node o ON reach.other = o.node GROUP BY reach.node)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(root.component_id, d.doc_id) AS component_id, coalesce(d.doc_id = coalesce(root.component_id, d.doc_id), false) AS kept
+FROM documents d LEFT JOIN sets s ON s.doc_id IS NOT DISTINCT FROM d.doc_id AND s.text = d.text LEFT JOIN node ON node.gs = s.gs LEFT JOIN root ON root.node = node.node
+"""

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from amperflow.llm import neardup as N
 from amperflow.llm import shingles
@@ -71,7 +72,9 @@ def test_parity_never_prunes_a_link():
         assert differ <= len(np.setxor1d(both[:n], both[n:]))
 
 
-def test_groups(spark):
+@pytest.mark.parametrize("side", [256, 2])
+def test_groups(spark, monkeypatch, side):
+    monkeypatch.setattr(N, "SIDE", side)  # a large bucket meets in blocks of so many nodes
     rows = corpus()
     df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, kept string, component_id int").repartition(5)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.assign_groups(df).collect()), key=str)
