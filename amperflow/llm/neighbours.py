@@ -421,3 +421,11 @@ def search(rows: DataFrame, queries: Column, top: int = TOP) -> DataFrame:
 def op6_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every row of ``embeddings`` whose vec_id is divisible by 100; see :func:`search`."""
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0)
+
+
+ORACLE = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pair AS (SELECT q.vec_id AS query_id, x.vec_id, sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.e, x.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), lambda a, b: a + b)) AS score FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.e) = len(x.e) WHERE q.vec_id % 100 = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pair)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM placed WHERE rank <= 10
+"""

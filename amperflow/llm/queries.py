@@ -6,13 +6,17 @@ from .bpe import op8_chunk_reuse_bpe
 from .decontaminate import ORACLE as DECONTAMINATE
 from .decontaminate import op3_containment_decontamination
 from .language import op7_recurrent_language
+from .neardup import ORACLE as NEARDUP
 from .neardup import op5_circulant_neardup
+from .neighbours import ORACLE as NEIGHBOURS
 from .neighbours import op6_descent_search
 from .pii import op4_boosted_pii
 from .secrets import op9_entropy_secrets
-from .webtext import op1_wrapper_main_text
-from .substrings import op2_suffix_dedup
+from .shards import ORACLE as SHARDS
 from .shards import op10_feistel_shards
+from .substrings import ORACLE as SUBSTRINGS
+from .substrings import op2_suffix_dedup
+from .webtext import op1_wrapper_main_text
 
 QUERIES = {
     "op1_wrapper_main_text": op1_wrapper_main_text,
@@ -27,4 +31,11 @@ QUERIES = {
     "op10_feistel_shards": op10_feistel_shards,
 }
 
-ORACLES: dict[str, str] = {"op3_containment_decontamination": DECONTAMINATE}
+#: The search is approximate, but finds all of a small table: its SQL is an exact search.
+ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": SUBSTRINGS,
+    "op3_containment_decontamination": DECONTAMINATE,
+    "op5_circulant_neardup": NEARDUP,
+    "op6_descent_search": NEIGHBOURS,
+    "op10_feistel_shards": SHARDS,
+}

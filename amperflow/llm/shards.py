@@ -68,16 +68,18 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucke
     ``buckets`` bounds the one table of offsets that is broadcast.
     """
     text = F.col("text").cast("binary")
+    number = lambda c: F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")  # noqa: E731  60 bits, as SQL has them too
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64("text").alias("h"),
+        F.coalesce(number(text), F.lit(-1).cast("long")).alias("h"),
     )
     # Equal rows meet after a map-side count; the bucket keeps the next sort spread over the cluster.
     same = narrow.groupBy("doc_id", "size", "text_crc32", "h").agg(F.count("*").alias("copies"))
-    same = same.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)).cast("int"))
-    sums = narrow.groupBy(F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("rows"))
+    bucket = F.pmod(number(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("h").cast("string")).cast("binary")), F.lit(buckets)).cast("int")
+    same = same.withColumn("bucket", bucket)
+    sums = narrow.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("rows"))
     found = {r["bucket"]: r["rows"] for r in sums.collect()}  # at most ``buckets`` rows
     n = sum(found.values())
     starts, before = [], 0
@@ -112,3 +114,28 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucke
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in shards 0 to 7 by the law ``rows``; see :func:`assign_shards`."""
     return assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _mixed(v: str, k: str) -> str:
+    """SQL of the round function: 64-bit products by way of 128 bits."""
+    wrap = "18446744073709551616::UHUGEINT"
+    keys = ", ".join(f"{(SEED * 0x9E3779B97F4A7C15 + (j + 1) * 0xD1B54A32D192ED03) % 2**64}::UHUGEINT" for j in range(ROUNDS))
+    one = f"(((({v}::UHUGEINT + ([{keys}])[{k} + 1]) % {wrap}) * {0xBF58476D1CE4E5B9}::UHUGEINT) % {wrap})::UBIGINT"
+    two = f"(((xor({one}, {one} >> 29))::UHUGEINT * {0x94D049BB133111EB}::UHUGEINT) % {wrap})::UBIGINT"
+    return f"xor({two}, {two} >> 32)"
+
+
+ORACLE = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda k: list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, encode(text) AS b, coalesce(octet_length(encode(text)), 0)::BIGINT AS n, coalesce(('0x' || substr(md5(text), 1, 15))::BIGINT, -1) AS h FROM documents),
+s AS (SELECT doc_id, n + 1 AS size, h, CASE WHEN n = 0 THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, n + 1), lambda i: ('0x' || hex(b[i:i]))::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) END::BIGINT AS text_crc32 FROM d, crc),
+g AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || ':' || h), 1, 15))::BIGINT % {BUCKETS} AS bucket FROM s),
+r AS (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size, h) - 1 AS row FROM g),
+m AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a, ceil(count(*) / ceil(sqrt(count(*))))::BIGINT AS b FROM r),
+walk(row, l, r, k, n, a, b, over) AS (
+  SELECT row, row // b, row % b, 0, n, a, b, n <= 1 FROM r, m
+  UNION ALL SELECT row, CASE WHEN k = {ROUNDS} THEN (l * b + r) // b WHEN k % 2 = 0 THEN (l + ({_mixed("r", "k")} % a)::BIGINT) % a ELSE l END, CASE WHEN k = {ROUNDS} THEN (l * b + r) % b WHEN k % 2 = 1 THEN (r + ({_mixed("l", "k")} % b)::BIGINT) % b ELSE r END,
+   CASE WHEN k = {ROUNDS} THEN 0 ELSE k + 1 END, n, a, b, k = {ROUNDS - 1} AND false FROM walk WHERE NOT over AND NOT (k = {ROUNDS} AND l * b + r < n)),
+p AS (SELECT row, CASE WHEN over THEN 0 ELSE l * b + r END AS p FROM walk WHERE over OR (k = {ROUNDS} AND l * b + r < n))
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {SHARDS})::INTEGER AS shard, (p // {SHARDS})::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM r JOIN p USING (row)
+"""

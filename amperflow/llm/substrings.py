@@ -372,3 +372,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of each whole text of ``documents`` an earlier one has too; see :func:`remove_repeats`."""
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+place AS (SELECT doc_id, b, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50),
+w AS (SELECT doc_id, i, b[i + 1 : i + 50] AS g FROM place),
+first AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g),
+hit AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM w JOIN first USING (g) WHERE least < doc_id),
+run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS r FROM hit),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS e FROM run GROUP BY doc_id, r),
+piece AS (SELECT doc_id, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS s, a AS t FROM span UNION ALL SELECT doc_id, coalesce(max(e), 0), any_value(n) FROM d LEFT JOIN span USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, sha256(unhex(coalesce(string_agg(CASE WHEN t > s THEN hex(b[s + 1 : t]) ELSE '' END, '' ORDER BY s), ''))) AS kept_sha256 FROM piece JOIN d USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM span GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
