@@ -88,3 +88,21 @@ def test_stage_keeps_text_where_nothing_is_learned(spark):
     assert [r.doc_id for r in L.keep_identified(df, 0.5).orderBy("doc_id").collect()] == [1, 2]
     named = df.withColumn("lang", L.F.lit("und"))
     assert [r.doc_id for r in L.keep_identified(named).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_query_on_held_out_documents(spark):
+    rows = {r.doc_id: r for r in L.op7_recurrent_language(spark, "/root/testdata/sf0.01").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    held = [d for d in docs if zlib.crc32(str(d.doc_id).encode()) % 5 == 0]
+    assert all(rows[d.doc_id].held_out == (d in held) for d in docs[:50]) and all(rows[d.doc_id].held_out for d in held)
+    told = [d for d in held if d.lang is not None and any(c.isalpha() for c in d.text or "")]
+    assert sum(rows[d.doc_id].lang_pred == d.lang for d in told) >= 0.95 * len(told) > 100
+
+
+def test_the_sample_depends_on_rows_alone(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
+    counts = {"aa": 10, "bb": 10, "cc": 10}
+    one = L.labelled_windows(df.repartition(1), list(counts), counts)
+    two = L.labelled_windows(df.repartition(5), list(counts), counts)
+    assert all((a == b).all() for a, b in zip(one, two, strict=True))
