@@ -9,15 +9,24 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path that nothing is at, below ``spark.checkpoint.dir``; a session of one machine without that gets a temporary folder."""
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that setting is missing, a session of one machine (master ``local``) gets a temporary
+    folder; any other raises, since its executors would write to their own disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="amperflow-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/amperflow-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in this application's part of the shared folder that nothing is at."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def mounted(path: str) -> str:

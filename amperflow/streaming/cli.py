@@ -6,6 +6,7 @@ import argparse
 import contextlib
 import inspect
 import json
+import logging
 import signal
 import sys
 import tempfile
@@ -23,6 +24,8 @@ from ..sources import registry
 from . import collect as looping
 from . import config as settings
 
+log = logging.getLogger(__name__)
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="amperflow", description=__doc__)
@@ -70,10 +73,16 @@ def collect(spark: SparkSession, make: Callable, plan: dict, options: dict, stop
     finite = "stream" not in known or "polls" in options
     options = options | ({"interval": plan["interval"]} if "interval" in known else {}) | ({"stream": True} if not finite else {})
 
+    warned: list[int] = []
+
     def write(df: DataFrame) -> int:
         df = df.persist()
         try:
-            rows = df.count()
+            untimed = F.col("test_time_second").isNull() if "test_time_second" in df.columns else F.lit(True)
+            rows, late = df.agg(F.count("*"), F.count_if(untimed)).first()
+            if late and "series_id" in df.columns and not warned:
+                warned.append(late)
+                log.warning("%d routed samples have no time of their own; their source should give one", late)
             if rows or finite:
                 write_feed(df, plan["out"], plan["institution"], metadata=facts, cell=plan["cell"])
             return rows
@@ -82,7 +91,8 @@ def collect(spark: SparkSession, make: Callable, plan: dict, options: dict, stop
 
     if finite:
         df = make(spark, **options)
-        rows = write(df if "test_time_second" in df.columns else df.withColumn("test_time_second", F.col("_seq") * plan["interval"]))
+        timed = "test_time_second" in df.columns or "series_id" in df.columns
+        rows = write(df if timed else df.withColumn("test_time_second", F.col("_seq") * plan["interval"]))
         return {"source": plan["source"], "samples": rows}
     with tempfile.TemporaryDirectory(prefix="amperflow-collect-") as folder:  # offsets of one run of one driver
         stats = looping.collect_stream(make(spark, **options), lambda df, _: write(df), f"file://{folder}", plan["duration"], stop=stop)
