@@ -2,48 +2,31 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import scratch, shared
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where that setting is missing, a session of one machine (master ``local``) gets a temporary
-    folder; any other raises, since its executors would write to their own disks.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="amperflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/amperflow-{spark.sparkContext.applicationId}"
-
-
 def clear_written(spark: SparkSession) -> None:
     """Delete all tables that this application wrote with :func:`written`.
 
     Operators drop what they have read to the end; what a lazy result still reads stays until this
     is called, once results are stored.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: the lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
