@@ -403,12 +403,12 @@ def bare_addresses(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", redact.bare_address(F.col("url")).alias("bare"))
 
 
-@query(f"""WITH {S}, x AS (SELECT _seq, [CASE WHEN k % 2 = 0 THEN 0.0 ELSE 3.7 END, 3.8, CASE WHEN k % 3 = 0 THEN NULL ELSE 3.9 END] AS c FROM s)
-SELECT _seq, CASE WHEN c[1] = 0 THEN 0 WHEN c[3] IS NULL THEN 2 ELSE 3 END::INTEGER AS n FROM x""")
+@query(f"""WITH {S}, x AS (SELECT _seq, [CASE WHEN k % 2 = 0 THEN 0.0 ELSE 3.75 END::DOUBLE, 3.5::DOUBLE, CASE WHEN k % 3 = 0 THEN NULL ELSE 3.25 END::DOUBLE] AS c FROM s)
+SELECT _seq, CASE WHEN c[1] = 0 THEN [] WHEN c[3] IS NULL THEN c[1:2] ELSE c END AS cells FROM x""")
 def cells_take_while(spark, sf_dir):
     """Cell voltages up to the first that is missing or 0."""
-    c = F.array(F.when(F.col("k") % 2 == 0, 0.0).otherwise(3.7), F.lit(3.8), F.when(F.col("k") % 3 == 0, None).otherwise(3.9))
-    return samples(spark, sf_dir).select("_seq", F.size(text.leading_cells(c)).alias("n"))
+    c = F.array(F.when(F.col("k") % 2 == 0, 0.0).otherwise(3.75), F.lit(3.5), F.when(F.col("k") % 3 == 0, None).otherwise(3.25))
+    return samples(spark, sf_dir).select("_seq", text.leading_cells(c).alias("cells"))
 
 
 @query(f"""WITH {S}, x AS (SELECT series_id, _seq, k, CASE WHEN _seq % 41 = 0 THEN NULL ELSE ts END AS ts, CASE WHEN _seq % 29 = 0 THEN 999.0 ELSE 12.0 + (k % 10) / 16.0 END AS v FROM s),
