@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 GROUP = 64  # pages of a host that are aligned together, at most
-PART, MOST_LARGE = 4, 100_000  # such groups in a part of a large host; large hosts that are dealt into parts (the largest ones)
+PART, MOST_LARGE = 4, 100_000  # such groups in a part of a large host; large hosts up to which their list is broadcast
 CONSTANT_PAGES, CONSTANT_SHARE, COPY_SHARE = 5, 0.6, 0.5
 TABLE = 40_000  # cells of a matching of two lists of children
 
@@ -467,8 +467,9 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     blank = ~F.coalesce(F.col("html").rlike(r"\S"), F.lit(False))
     most = PART * group
     large = pages.where(~blank).groupBy(host.alias("host")).agg(F.count("*").alias("n")).where(F.col("n") > most)
-    large = large.orderBy(F.desc("n"), "host").limit(MOST_LARGE)
-    rows = pages.select("page_id", "url", "html", host.alias("host"), blank.alias("blank"), F.xxhash64("page_id", "url", "html").alias("salt")).join(F.broadcast(large), "host", "left")
+    large = written(large, "hosts")
+    large = F.broadcast(large) if large.limit(MOST_LARGE + 1).count() <= MOST_LARGE else large
+    rows = pages.select("page_id", "url", "html", host.alias("host"), blank.alias("blank"), F.xxhash64("page_id", "url", "html").alias("salt")).join(large, "host", "left")
     part = F.when(F.col("blank"), -1 - F.pmod("salt", F.lit(1024))).otherwise(F.pmod("salt", F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("long")))
     rows = rows.select("page_id", "url", "html", "host", part.alias("part"), "salt")
     rows = rows.repartition("host", "part").sortWithinPartitions("host", "part", "salt", "page_id", "url", "html")
