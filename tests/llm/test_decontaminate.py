@@ -55,3 +55,13 @@ def test_empty(spark):
     i = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert D.contained_items(d.limit(0), i).count() == 0 and D.contained_items(d, i.limit(0)).count() == 0
     assert D.drop_contaminated(d, i.limit(0)).count() == 1
+
+
+def test_an_item_in_a_very_long_text(spark):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(5000)}" for _ in range(300_000)]
+    item = [f"v{k}" for k in range(12)]
+    docs = spark.createDataFrame([(1, " ".join(long[:150_000] + item + long[150_000:])), (2, " ".join(long))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item[:11]) + " other words")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.n_shared) for r in D.contained_items(docs, items).collect()] == [(1, 7, 8)]
+    assert [r.doc_id for r in D.drop_contaminated(docs, items).collect()] == [2]

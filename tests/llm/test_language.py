@@ -106,3 +106,12 @@ def test_the_sample_depends_on_rows_alone(spark):
     one = L.labelled_windows(df.repartition(1), list(counts), counts)
     two = L.labelled_windows(df.repartition(5), list(counts), counts)
     assert all((a == b).all() for a, b in zip(one, two, strict=True))
+
+
+def test_a_very_long_text_is_read_to_its_end(spark):
+    net = L.train_on(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
+    words = {lang: next(t for _, t, x in corpus() if x == lang) for lang in ("aa", "bb")}
+    size = 1_000_000
+    text = (words["aa"] + " ") * (size // len(words["aa"])) + (words["bb"] + " ") * (3 * size // len(words["bb"]))
+    (row,) = L.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), net).collect()
+    assert row.lang_pred == "bb" and 0.6 < row.score < 0.9

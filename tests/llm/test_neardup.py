@@ -101,3 +101,14 @@ def test_sets_of_null_ids(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.assign_groups(df).collect()), key=str)
     assert got == sorted(brute(rows), key=str)
     assert [r.doc_id for r in N.drop_near_duplicates(df, 4).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_very_long_near_copies(spark):
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    copy = list(long)
+    for k in range(0, len(copy), 100):
+        copy[k] = "changed"
+    rows = [(5, " ".join(long)), (3, " ".join(copy)), (4, " ".join(long[:100_000]))]
+    got = {r.doc_id: (r.component_id, r.kept) for r in N.assign_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: (3, False), 3: (3, True), 4: (4, True)}
