@@ -9,10 +9,15 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Arrow batches into Python workers: at most so many rows, so that a batch of texts is some MB on either side.
+BATCH, SPARKS_OWN = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+ROWS = "4000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's modules along with the session's application, once."""
+    """Send the package's modules along with the session's application, once; smaller Arrow batches where nobody has set their size."""
+    if spark.conf.get(BATCH) == SPARKS_OWN:
+        spark.conf.set(BATCH, ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
