@@ -94,22 +94,22 @@ def runs_of(data: np.ndarray, ends: np.ndarray):
 
 
 #: ``h`` holds 48 bits of the anchor's hash and 16 of its right side's; ``x`` 40 bits of the context's
-#: hash and 24 of the left side's; ``y`` the first window (30 bits), the number of windows (6), 24 bits
+#: hash and 24 of the left side's; ``y`` the first window (31 bits, as texts have at most), the number of windows (6), 23 bits
 #: of the text's hash (rows that share a doc_id are told apart by them) and 4 more of the right side's.
-OWN = (1 << 24) - 1
+OWN, LEFT = (1 << 23) - 1, (1 << 24) - 1
 
 
 def pack(first, count, own, gram, context, left, right):
     h = (gram >> U(16)) << U(16) | right >> U(48)
     x = (context >> U(24)) << U(24) | left >> U(40)
-    y = first.astype(np.uint64) << U(34) | count.astype(np.uint64) << U(28) | own.astype(np.uint64) << U(4) | (right >> U(44)) & U(15)
+    y = first.astype(np.uint64) << U(33) | count.astype(np.uint64) << U(27) | own.astype(np.uint64) << U(4) | (right >> U(44)) & U(15)
     return h.view(np.int64), x.view(np.int64), y.view(np.int64)
 
 
 def unpack_y(y: np.ndarray):
     """First window, number of windows, and the text's hash."""
     v = y.view(np.uint64)
-    return (v >> U(34)).astype(np.int64), ((v >> U(28)) & U(63)).astype(np.int64), ((v >> U(4)) & U(OWN)).astype(np.int64)
+    return (v >> U(33)).astype(np.int64), ((v >> U(27)) & U(63)).astype(np.int64), ((v >> U(4)) & U(OWN)).astype(np.int64)
 
 
 def own_of(y: str):
@@ -171,7 +171,7 @@ def local_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         key = mix(h ^ mix(c))
         order = np.argsort(key, kind="stable")
-        starts = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] + U(1)))
+        starts = np.flatnonzero(np.append(True, (np.diff(key[order]) != 0) | (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0)))
         least = np.minimum.reduceat(doc[order], starts)
         later = np.empty(len(doc), bool)
         later[order] = doc[order] > np.repeat(least, np.diff(np.append(starts, len(order))))
@@ -215,11 +215,12 @@ def settle_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """
 
     def groups(h, x, doc, y) -> Iterator[pa.RecordBatch]:
-        gram, context, left = h >> np.int64(16), x >> np.int64(24), x & np.int64(OWN)
+        # A context is known by its own 40 bits and the 24 of its left side, among those of one anchor.
+        gram, context, left = h >> np.int64(16), x, x & np.int64(LEFT)
         right = (h & np.int64(0xFFFF)) << np.int64(4) | y & np.int64(15)
         key = mix(gram.view(np.uint64) ^ mix(context.view(np.uint64)))
         order = np.argsort(key, kind="stable")
-        starts = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        starts = np.flatnonzero(np.append(True, (np.diff(key[order]) != 0) | (np.diff(gram[order]) != 0) | (np.diff(context[order]) != 0)))
         least = np.minimum.reduceat(doc[order], starts)
         low = np.empty(len(doc), np.int64)
         low[order] = np.repeat(least, np.diff(np.append(starts, len(order))))

@@ -74,3 +74,19 @@ def test_removals(spark, monkeypatch, block):
 
 def test_empty(spark):
     assert R.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_text_of_more_than_four_megabytes(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz é", k=4_400_000))
+    rows = [(1, long), (2, "before " + long[4_200_000:4_201_000] + " after"), (3, long[100:160])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    size = lambda s: len(s.encode())
+    assert got == {1: (size(long), 0, 0), 2: (size(rows[1][1]), size(long[4_200_000:4_201_000]), 1), 3: (size(rows[2][1]), size(rows[2][1]), 1)}
+
+
+def test_positions_to_the_end_of_the_longest_text():
+    first, count, own = np.array([0, (1 << 31) - 1]), np.array([1, 35]), np.array([R.OWN, 5])
+    big = np.array([1 << 63, 3], np.uint64)
+    _, _, y = R.pack(first, count, own, big, big, big, big)
+    assert [v.tolist() for v in R.unpack_y(y)] == [first.tolist(), count.tolist(), own.tolist()]
