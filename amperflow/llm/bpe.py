@@ -26,7 +26,8 @@ from .common import byte_slices, table
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW, MASK_BITS, CACHE_MB, SLICE = 32, 9, 48, 4 << 20
 #: Runs of white space (Unicode's property) from this length on are cut out before the split into words.
-LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+LONG = 4096
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
 #: First byte of U+0300. Beyond it, libraries' tables of letters and spaces may differ by version.
 BEYOND_LATIN = 0xCC
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -71,12 +72,15 @@ class Codec:
         ids = lambda s: self.fast.encode(s, allowed_special="all") if latin else self.full.encode(s, add_special_tokens=False).ids
         # A long run of white space is one word, but for its last character where more follows; the
         # split by a regular expression would try every shorter run first, and give up.
-        for run in LONG_SPACE.finditer(text):
+        for run in LONG_SPACE.finditer(text) if len(text) >= LONG else ():
             end = run.end() - (run.end() < len(text))
             parts += [ids(text[at : run.start()]), self.fast._encode_single_piece(text[run.start() : end])]
             at = end
-        parts.append(ids(text[at:]))
         self.encoded += 1
+        if not parts:
+            only = ids(text)
+            return np.array(only, "<u4").tobytes(), b"".join(map(self.table.__getitem__, only)), len(only)
+        parts.append(ids(text[at:]))
         return b"".join(np.array(p, "<u4").tobytes() for p in parts), b"".join(b"".join(map(self.table.__getitem__, p)) for p in parts), sum(map(len, parts))
 
     def chunk(self, piece: bytes, latin: bool) -> tuple[bytes, bytes, int]:
