@@ -1,6 +1,6 @@
 """Phrase collocations: n-gram counts from word-id suffix arrays of shards, merged by key.
 
-A shard is what a task has read, up to 16 MB of text. Its words get ids, its pieces become one
+A shard is what a task has read, up to 8 MB of text. Its words get ids, its pieces become one
 string of ids, and prefix doubling sorts the suffixes by their first words (two doublings are four
 words). Runs of neighbours that share n words (LCP intervals) are the n-grams with their counts.
 Counts of shards are summed by language and phrase.
@@ -28,7 +28,7 @@ from .common import byte_slices, table, written
 #: Words of the longest phrase, least count, scale of scores, share (in hundredths) of a longer phrase that covers, rows reported for each language. Fixed values of the contract.
 LONGEST, LEAST, SCALE, COVERED, TOP = 4, 30, 2_000_000, 80, 2000
 #: Bytes of a shard, bits of the filter (8 MB), its rows on the way to the driver, and parts that a language is ranked in first.
-SHARD, BITS, FOLDS, PARTS = 16 << 20, 1 << 26, 1024, 64
+SHARD, BITS, FOLDS, PARTS = 8 << 20, 1 << 26, 1024, 64
 COUNTS = "lang string, phrase string, words int, n long"
 PIECE_ENDS, WORD_ENDS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
@@ -78,16 +78,19 @@ def words_of(texts: list[tuple[str, np.ndarray]]) -> Words:
     code = {lang: k for k, lang in enumerate(langs)}
     gap = np.array([PIECE_ENDS[0]], np.uint8)
     data = np.concatenate([x for _, text in texts for x in (text, gap)])
-    owner = np.repeat([code[lang] for lang, _ in texts], [len(text) + 1 for _, text in texts])
+    bounds = np.cumsum([len(text) + 1 for _, text in texts])
     blank = _WORD[data]
     starts = np.flatnonzero(~blank & np.append(True, blank[:-1]))
     ends = np.flatnonzero(~blank & np.append(blank[1:], True)) + 1
-    piece = np.cumsum(_PIECE[data])[starts]
-    lang = owner[starts]
+    piece = np.searchsorted(np.flatnonzero(_PIECE[data]), starts)
+    lang = np.array([code[lang] for lang, _ in texts])[np.searchsorted(bounds, starts, side="right")]
     at = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
     every = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at.tobytes()), pa.py_buffer(data[~blank].tobytes())).dictionary_encode()
     spelled, word = every.dictionary, every.indices.to_numpy().astype(np.int64)
-    pairs, ids = np.unique(word * len(langs) + lang, return_inverse=True)
+    code_of = word * len(langs) + lang
+    met = np.zeros(len(spelled) * len(langs), bool)
+    met[code_of] = True
+    pairs, ids = np.flatnonzero(met), (np.cumsum(met) - 1)[code_of]
     last = np.append(np.diff(piece) != 0, True) if len(piece) else np.zeros(0, bool)
     # A 0 behind the last word of each piece.
     place = np.arange(len(ids)) + np.append(0, np.cumsum(last)[:-1]) if len(ids) else np.zeros(0, np.int64)
@@ -109,12 +112,13 @@ def pair_bits(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
 def suffixes(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp): suffixes by their first ``depth`` words at least, and the words each shares with the one before, up to ``depth``."""
     n = len(ids)
-    rank, width, order = ids, 1, np.argsort(ids, kind="stable")
+    rank, width = ids, 1
+    order = np.argsort(ids) if depth == 1 else ids
     while width < depth:
         follow = np.zeros(n, np.int64)
         follow[: max(n - width, 0)] = rank[width:] + 1
         key = rank * (int(rank.max(initial=0)) + 2) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
         width *= 2
@@ -126,6 +130,25 @@ def suffixes(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
+def frequent_runs(ids: np.ndarray, hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The string cut at every pair that is not in the filter, and without runs of fewer than three words."""
+    linked = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+    hit = np.ones(len(linked), bool)
+    for p in pair_bits(hashes[ids[linked] - 1], hashes[ids[linked + 1] - 1], len(frequent) * 8):
+        hit &= (frequent[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+    joined = np.zeros(len(ids) + 1, bool)  # whether a word and the next one are a frequent pair
+    joined[linked[hit]] = True
+    starts = np.flatnonzero(joined & ~np.append(False, joined[:-1]))
+    ends = np.flatnonzero(~joined & np.append(False, joined[:-1])) + 1
+    long = ends - starts > 2
+    starts, sizes = starts[long], (ends - starts)[long]
+    at = np.append(0, np.cumsum(sizes + 1))
+    out = np.zeros(at[-1], np.int64)
+    within = np.arange(int(sizes.sum())) - np.repeat(np.append(0, np.cumsum(sizes)[:-1]), sizes) if len(sizes) else np.zeros(0, np.int64)
+    out[np.repeat(at[:-1], sizes) + within] = ids[np.repeat(starts, sizes) + within]
+    return out
+
+
 def counted(words: Words, sizes: tuple[int, ...], frequent: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, words, n) of the n-grams of a shard, n in ``sizes``: one for each LCP interval of n words or more.
 
@@ -134,17 +157,10 @@ def counted(words: Words, sizes: tuple[int, ...], frequent: np.ndarray | None =
     ids = words.ids
     if not len(ids):
         return
+    if frequent is not None:
+        ids = frequent_runs(ids, words.hashes, frequent)
     order, lcp = suffixes(ids, max(sizes))
     padded = np.append(ids, np.zeros(LONGEST, np.int64))
-    if frequent is not None:
-        a, b = padded[: len(ids)], padded[1 : len(ids) + 1]
-        linked = np.flatnonzero((a > 0) & (b > 0))
-        places = pair_bits(words.hashes[a[linked] - 1], words.hashes[b[linked] - 1], len(frequent) * 8)
-        hit = np.ones(len(linked), bool)
-        for p in places:
-            hit &= (frequent[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-        sound = np.zeros(len(padded), bool)
-        sound[linked[hit]] = True
     for n in sizes:
         opens = np.flatnonzero(lcp < n)
         at = order[opens]
@@ -152,9 +168,6 @@ def counted(words: Words, sizes: tuple[int, ...], frequent: np.ndarray | None =
         whole = np.ones(len(at), bool)
         for d in range(n):
             whole &= padded[at + d] > 0
-        if frequent is not None:
-            for d in range(n - 1):
-                whole &= sound[at + d]
         at, count = at[whole], count[whole]
         for k in range(0, len(at), 1 << 16):
             part, c = at[k : k + (1 << 16)], count[k : k + (1 << 16)]
