@@ -20,13 +20,13 @@ from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from .. import schema as names
 from ..functions.redact import redact_metadata
 from ..operators import segment
-
+from .feed_stream import FeedStreamWriter
 
 INNER = ("segment", "_cell", "_info")
 DESCRIBE_EVERY = 60.0
@@ -52,6 +52,9 @@ class FeedSource(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return FeedWriter(schema, dict(self.options))
 
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamWriter:  # noqa: N802 -- Spark's name
+        return FeedStreamWriter(schema, dict(self.options))
+
 
 class FeedWriter(DataSourceWriter):
     """Rows come grouped by ``_cell`` and ``segment`` and in order; see :func:`write_feed`.
