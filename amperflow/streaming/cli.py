@@ -9,7 +9,6 @@ import json
 import logging
 import signal
 import sys
-import tempfile
 import threading
 import time
 from collections.abc import Callable, Iterator
@@ -19,12 +18,16 @@ from pyspark.sql import functions as F
 
 from ..functions.redact import Scrubber, secret_name
 from ..operators.ledger import Ledger
+from ..scratch import scratch
 from ..sinks.feed import write_feed
+from ..sinks.feed_stream import FeedStream, stream_feed
 from ..sources import registry
 from . import collect as looping
 from . import config as settings
 
 log = logging.getLogger(__name__)
+#: What keeps the state of streams. Spark's name.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -73,18 +76,14 @@ def collect(spark: SparkSession, make: Callable, plan: dict, options: dict, stop
     finite = "stream" not in known or "polls" in options
     options = options | ({"interval": plan["interval"]} if "interval" in known else {}) | ({"stream": True} if not finite else {})
 
-    warned: list[int] = []
-
     def write(df: DataFrame) -> int:
         df = df.persist()
         try:
             untimed = F.col("test_time_second").isNull() if "test_time_second" in df.columns else F.lit(True)
             rows, late = df.agg(F.count("*"), F.count_if(untimed)).first()
-            if late and "series_id" in df.columns and not warned:
-                warned.append(late)
+            if late and "series_id" in df.columns:
                 log.warning("%d routed samples have no time of their own; their source should give one", late)
-            if rows or finite:
-                write_feed(df, plan["out"], plan["institution"], metadata=facts, cell=plan["cell"])
+            write_feed(df, plan["out"], plan["institution"], metadata=facts, cell=plan["cell"])
             return rows
         finally:
             df.unpersist()
@@ -94,8 +93,16 @@ def collect(spark: SparkSession, make: Callable, plan: dict, options: dict, stop
         timed = "test_time_second" in df.columns or "series_id" in df.columns
         rows = write(df if timed else df.withColumn("test_time_second", F.col("_seq") * plan["interval"]))
         return {"source": plan["source"], "samples": rows}
-    with tempfile.TemporaryDirectory(prefix="amperflow-collect-") as folder:  # offsets of one run of one driver
-        stats = looping.collect_stream(make(spark, **options), lambda df, _: write(df), f"file://{folder}", plan["duration"], stop=stop)
+    runs: list[FeedStream] = []
+
+    def start(df: DataFrame, once: bool):
+        runs.append(stream_feed(df, plan["out"], checkpoint, plan["institution"], metadata=facts, cell=plan["cell"], once=once))
+        return runs[-1].query
+
+    checkpoint = scratch(spark, "collect")
+    stats = looping.collect_stream(make(spark, **options), start, plan["duration"], stop=stop)
+    for run in runs[-1:]:
+        run.finish()
     return {"source": plan["source"], "samples": stats.samples, "errors": stats.errors, "seconds": round(stats.duration_s, 1)}
 
 
@@ -145,7 +152,7 @@ def main(argv: list[str] | None = None) -> int:
     scrub = Scrubber(settings.secrets_of(options) + settings.environment_secrets(unset))
     with settings.scrubbed_logs(scrub) as take_in, interrupts() as stop:
         try:
-            spark = SparkSession.builder.appName("amperflow").getOrCreate()
+            spark = SparkSession.builder.appName("amperflow").config("spark.sql.streaming.stateStore.providerClass", STATE_STORE).getOrCreate()
             take_in()
             if args.verb == "import":
                 if args.reset_ledger:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators import gate, project
 from ..operators.ledger import Ledger, candidates
@@ -27,55 +29,6 @@ class Stats:
     batches: int = 0
     errors: int = 0
     duration_s: float = 0.0
-    columns: set = field(default_factory=set)
-
-
-def collect(poll: Callable[[], list[dict]], write: Callable[[list[dict]], Any], duration: float | None = None, interval: float = 1.0, policy: ErrorPolicy | None = ErrorPolicy(), clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep, stop: Callable[[], bool] = lambda: False) -> Stats:
-    """Poll, stamp, write, sleep. Samples without a time of their own share the batch's; failures of the sink are not retried."""
-    stats, guard, start = Stats(), Guard(policy, sleep), clock()
-    while not stop() and (duration is None or clock() - start < duration):
-        stats.polls += 1
-        try:
-            batch = poll()
-        except Exception as e:  # noqa: BLE001 -- sources raise what they like
-            guard.failed(e)
-            continue
-        guard.succeeded()
-        elapsed = clock() - start
-        for sample in batch:
-            sample.setdefault("test_time_second", elapsed)
-            stats.columns |= sample.keys()
-        if batch:
-            write(batch)
-            stats.batches += 1
-            stats.samples += len(batch)
-        sleep(interval)
-    stats.errors, stats.duration_s = guard.errors, clock() - start
-    return stats
-
-
-def import_until_drained(poll: Callable[[], Any], write: Callable[[Any], Any], commit: Callable[[], Any] = lambda: None, drained: Callable[[], bool] = lambda: True, watch: bool = False, interval: float = 5.0, policy: ErrorPolicy | None = ErrorPolicy(), sleep: Callable[[float], None] = time.sleep, stop: Callable[[], bool] = lambda: False) -> Stats:
-    """Poll until a source has no more (or for ever, watching); commit only after the write: at least once."""
-    stats, guard = Stats(), Guard(policy, sleep)
-    while not stop():
-        stats.polls += 1
-        try:
-            batch = poll()
-        except Exception as e:  # noqa: BLE001
-            guard.failed(e)
-            continue
-        guard.succeeded()
-        if batch:
-            write(batch)
-            commit()
-            stats.batches += 1
-            stats.samples += len(batch)
-            continue
-        if not watch and drained():
-            break
-        sleep(interval)
-    stats.errors = guard.errors
-    return stats
 
 
 #: Why a flight log cannot be imported. Fixed values of this engine's ledger.
@@ -120,37 +73,79 @@ def import_flights(spark: SparkSession, folder: str, out: str, ledger_dir: str,
         new.unpersist()
 
 
-def collect_stream(df: DataFrame, write: Callable[[DataFrame, int], int], checkpoint: str, duration: float | None = None, flush: float = 60.0, policy: ErrorPolicy | None = ErrorPolicy(), clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep, stop: Callable[[], bool] = lambda: False) -> Stats:
-    """Samples of a stream, handed to ``write`` every ``flush`` seconds until ``duration`` is over or ``stop`` says so; ``write`` tells how many.
+class Counts(StreamingQueryListener):
+    """What a stream's observed rows add up to over all its queries and restarts, however many batches there were."""
 
-    What has arrived by then is written before it ends. A failed round is repeated from the checkpoint.
+    def __init__(self) -> None:
+        self.name = f"samples-{uuid.uuid4().hex}"
+        self.rows = self.untimed = self.batches = 0
+        self.last: dict[str, int] = {}
+
+    def observed(self, df: DataFrame) -> DataFrame:
+        """``df``, its rows and those without a time of their own counted on their way, not in a pass of their own."""
+        untimed = F.col("test_time_second").isNull() if "test_time_second" in df.columns else F.lit(True)
+        return df.observe(self.name, F.count(F.lit(1)).alias("rows"), F.count_if(untimed).alias("untimed"))
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802 -- Spark's names
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        found = event.progress.observedMetrics.get(self.name)
+        if found is not None:
+            self.rows += found.rows
+            self.untimed += found.untimed
+            self.batches += found.rows > 0
+            self.last[str(event.progress.runId)] = event.progress.batchId
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def caught_up(self, query, most: float = 10.0) -> None:
+        """Wait until the last progress of a query that has ended was counted: events come by themselves."""
+        until, last = time.monotonic() + most, query.lastProgress
+        while last and self.last.get(str(last["runId"]), -1) < last["batchId"] and time.monotonic() < until:
+            time.sleep(0.02)
+
+
+def collect_stream(df: DataFrame, start: Callable[[DataFrame, bool], Any], duration: float | None = None, policy: ErrorPolicy | None = ErrorPolicy(), clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep, stop: Callable[[], bool] = lambda: False) -> Stats:
+    """Run the query that ``start`` gives of the counted stream until ``duration`` is over or ``stop`` says so.
+
+    What has arrived by then is written before it ends, by one more query that takes what there is
+    (the second argument of ``start``). A query that fails is started again from its checkpoint, under
+    the policy; one that got on before it failed begins a new count of failures.
     """
-    stats, guard, start = Stats(), Guard(policy, sleep), clock()
-
-    def counted(batch: DataFrame, k: int) -> None:
-        rows = write(batch, k)
-        stats.samples += rows
-        stats.batches += rows > 0
-
-    last = False
-    while not last:
-        due = clock() + flush
-        if duration is not None:
-            due = min(due, start + duration)
-        while clock() < due and not stop():
-            sleep(min(0.2, max(0.0, due - clock())))
-        last = stop() or (duration is not None and clock() >= start + duration)
-        stats.polls += 1
-        try:
-            query = stream_to(df, counted, checkpoint, once=True)
-            query.awaitTermination()
-        except Exception as e:  # noqa: BLE001 -- whatever ended the query
-            guard.failed(e)
-            last = False
-            continue
-        guard.succeeded()
-    stats.errors, stats.duration_s = guard.errors, clock() - start
-    return stats
+    guard, began, counts = Guard(policy, sleep), clock(), Counts()
+    over = lambda: stop() or (duration is not None and clock() >= began + duration)
+    spark = df.sparkSession
+    spark.streams.addListener(counts)
+    polls, last = 0, False
+    try:
+        while not last:
+            last, query, before = over(), None, counts.rows
+            polls += 1
+            try:
+                query = start(counts.observed(df), last)
+                while query.isActive and (last or not over()):
+                    query.awaitTermination(0.2)
+                query.stop()
+                counts.caught_up(query)
+                if query.exception() is not None:
+                    raise query.exception()
+            except Exception as e:  # noqa: BLE001 -- whatever ended the query
+                if query is not None:
+                    counts.caught_up(query)
+                if counts.rows > before:
+                    guard.succeeded()
+                guard.failed(e)
+                last = False
+    finally:
+        spark.streams.removeListener(counts)
+    if counts.untimed and "series_id" in df.columns:
+        log.warning("%d routed samples have no time of their own; their source should give one", counts.untimed)
+    return Stats(samples=counts.rows, polls=polls, batches=counts.batches, errors=guard.errors, duration_s=clock() - began)
 
 
 def stream_to(df: DataFrame, write: Callable[[DataFrame, int], Any], checkpoint: str, once: bool = True, interval: str = "1 second"):

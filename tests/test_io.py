@@ -1,7 +1,6 @@
 """Sources, sinks and streams."""
 
 import gzip
-import itertools
 import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -165,24 +164,33 @@ def test_segments_of_a_stream(spark, tmp_path):
     assert rows == want and len(rows) >= 30
 
 
-def test_policy_and_loops():
-    slept, calls = [], iter([Exception("x"), Exception("x"), [{"v": 1}], [], Exception("y")])
+def test_policy():
+    slept = []
+    guard = supervisor.Guard(supervisor.ErrorPolicy(), slept.append)
+    for _ in range(2):
+        guard.failed(ValueError("x"))
+    guard.succeeded()
+    with pytest.raises(supervisor.SourceFailure):
+        for _ in range(5):
+            guard.failed(ValueError("y"))
+    assert slept == [1.0, 2.0, 1.0, 2.0, 4.0, 8.0] and guard.errors == 7
 
-    def poll():
-        x = next(calls)
-        if isinstance(x, Exception):
-            raise x
-        return x
 
-    wrote, done = [], []
-    stats = collect.import_until_drained(poll, wrote.append, lambda: done.append(len(wrote)), sleep=slept.append)
-    assert slept == [1.0, 2.0] and wrote == [[{"v": 1}]] and done == [1] and stats.errors == 2
-    with pytest.raises(supervisor.SourceFailure):
-        collect.collect(lambda: 1 / 0, print, sleep=slept.append)
-    assert slept[2:] == [1.0, 2.0, 4.0, 8.0]
-    times = itertools.chain([0.0, 0.0, 1.0, 2.0], itertools.repeat(9.0))
-    stats = collect.collect(lambda: [{"v": 1}, {"test_time_second": 7.0}], wrote.append, duration=5, clock=lambda: next(times), sleep=lambda s: None)
-    assert wrote[1][0]["test_time_second"] == 1.0 and wrote[1][1]["test_time_second"] == 7.0 and stats.samples >= 2
+def test_stream_that_fails_goes_on(spark, tmp_path):
+    """A query that fails is started again from its checkpoint; rows count once, whatever their number of batches."""
+    df = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 10).load()
+    df = df.select(F.col("value").alias("_seq"), F.lit(None).cast("double").alias("test_time_second"), F.lit("s").alias("series_id"))
+    seen, slept, tries = [], [], []
+
+    def write(batch, k):
+        tries.append(k)
+        if len(tries) == 2:
+            raise ValueError("once")
+        seen.extend(r._seq for r in batch.collect())
+
+    start = lambda df, once: collect.stream_to(df, write, f"{tmp_path}/c", once=once)
+    stats = collect.collect_stream(df, start, duration=15, sleep=slept.append)
+    assert slept == [1.0] and stats.errors == 1 and sorted(seen) == list(range(stats.samples)) and stats.samples >= 20
 
 
 def test_push_source():
