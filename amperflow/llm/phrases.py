@@ -1,6 +1,6 @@
 """Phrase collocations: n-gram counts from word-id suffix arrays of shards, merged by key.
 
-A shard is what a task has read, up to 8 MB of text. Its words get ids, its pieces become one
+A shard is what a task has read, up to 4 MB of text. Its words get ids, its pieces become one
 string of ids, and prefix doubling sorts the suffixes by their first words (two doublings are four
 words). Runs of neighbours that share n words (LCP intervals) are the n-grams with their counts.
 Counts of shards are summed by language and phrase.
@@ -28,7 +28,7 @@ from .common import byte_slices, table, written
 #: Words of the longest phrase, least count, scale of scores, share (in hundredths) of a longer phrase that covers, rows reported for each language. Fixed values of the contract.
 LONGEST, LEAST, SCALE, COVERED, TOP = 4, 30, 2_000_000, 80, 2000
 #: Bytes of a shard, bits of the filter (8 MB), its rows on the way to the driver, and parts that a language is ranked in first.
-SHARD, BITS, FOLDS, PARTS = 8 << 20, 1 << 26, 1024, 64
+SHARD, BITS, FOLDS, PARTS = 4 << 20, 1 << 26, 1024, 64
 COUNTS = "lang string, phrase string, words int, n long"
 PIECE_ENDS, WORD_ENDS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
@@ -64,13 +64,15 @@ def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[
 
 @dataclass
 class Words:
-    """The words of a shard: ``ids`` with 0 behind each piece, the language and spelling of ids, and their hashes."""
+    """The words of a shard: ``ids`` with 0 behind each piece, and the language and spelling of ids."""
 
     ids: np.ndarray
     lang: np.ndarray
     spelled: pa.Array
     langs: list[str]
-    hashes: np.ndarray
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in self.spelled.to_pylist()), np.uint64, len(self.spelled))
 
 
 def words_of(texts: list[tuple[str, np.ndarray]]) -> Words:
@@ -98,8 +100,7 @@ def words_of(texts: list[tuple[str, np.ndarray]]) -> Words:
     string[place] = ids + 1
     spelled = spelled.take(pa.array(pairs // len(langs))) if len(pairs) else spelled
     of = pairs % len(langs)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in spelled.to_pylist()), np.uint64, len(pairs))
-    return Words(string, of, spelled, langs, hashes)
+    return Words(string, of, spelled, langs)
 
 
 def pair_bits(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -158,7 +159,7 @@ def counted(words: Words, sizes: tuple[int, ...], frequent: np.ndarray | None =
     if not len(ids):
         return
     if frequent is not None:
-        ids = frequent_runs(ids, words.hashes, frequent)
+        ids = frequent_runs(ids, words.hashes(), frequent)
     order, lcp = suffixes(ids, max(sizes))
     padded = np.append(ids, np.zeros(LONGEST, np.int64))
     for n in sizes:
@@ -185,7 +186,9 @@ def shard_counts(docs: DataFrame, sizes: tuple[int, ...], frequent=None, most: i
         for texts in shards(batches, most):
             yield from counted(words_of(texts), sizes, bits)
 
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, COUNTS).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    # Shards hold each phrase once: they are shuffled as they are, without another count on the map side.
+    found = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, COUNTS).repartition("lang", "phrase", "words")
+    return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
 
 
 def pair_filter(pairs: DataFrame, bits: int = BITS) -> bytes:
