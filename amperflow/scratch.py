@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
@@ -34,3 +34,10 @@ def mounted(path: str) -> str:
     if re.match(r"[a-z][a-z0-9+.-]+:", path) and not path.startswith("file:"):
         raise ValueError(f"{path} is no mounted folder")
     return re.sub("^file:/*", "/", path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again: the lineage ends here, and what it holds is what it stays."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
