@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..scratch import stored
+from .greedy import greedy
 
 DEFAULT = "default"
 
@@ -54,25 +56,64 @@ def with_segments(df: DataFrame, rows: int | None = None, series: str = "series_
     return out.select(*(F.col(f"`{c}`") for c in df.columns), "segment")
 
 
+def with_aged_segments(df: DataFrame, seconds: float, time: str, rows: int | None = None, series: str = "series_id", run: str = "run_id", seq: str = "_seq", block: int = BLOCK) -> DataFrame:
+    """``df`` with ``segment`` as :func:`with_segments` gives it, and a new one with each first row at which the open one is ``seconds`` old.
+
+    Age is counted from a segment's first known time, by a clock that never goes back: the latest
+    time of the run so far. Rows without a time end no segment. ``_seq`` is unique within a series.
+    """
+    names = [F.col(f"`{c}`") for c in df.columns]
+    df = with_segments(df, rows, series, run, seq, block).withColumn("__micros", F.unix_micros(F.col(time).cast("timestamp"))).withColumn("__block", F.floor(F.col(seq) / block))
+    keys = [series, "segment", "__block"]
+    earlier = Window.partitionBy(series, "segment").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    up_to = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    df = _carried(df, keys, {"__reached": F.max("__top").over(earlier)}, {"__top": F.max("__micros")})
+    df = stored(df.withColumn("__clock", F.greatest(F.max("__micros").over(up_to), "__reached")).drop("__micros", "__reached"), "segment-clock")
+    at = df.where(F.col("__clock").isNotNull()).groupBy(series, "segment", "__clock").agg(F.min(seq).alias("__open"))
+    cuts = greedy(at.select(series, "segment", "__clock"), [series, "segment"], "__clock", round(seconds * 1_000_000))
+    first = at.groupBy(series, "segment").agg(F.min("__clock").alias("__began"))
+    same = lambda a, b, *on: reduce(and_, (a[c].eqNullSafe(b[c]) for c in on))
+    cuts = cuts.join(at, same(cuts, at, series, "segment", "__clock")).select(cuts[series], cuts["segment"], cuts["__clock"], "__open")
+    cuts = cuts.join(first, same(cuts, first, series, "segment")).where(F.col("__clock") > F.col("__began")).select(cuts[series].alias("__of"), F.col("__open"))
+    df = df.join(cuts, F.col(series).eqNullSafe(F.col("__of")) & (F.col(seq) == F.col("__open")), "left").withColumn("__aged", F.col("__open").isNotNull().cast("long"))
+    turned = F.coalesce(F.sum("__n").over(Window.partitionBy(series).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = _carried(df, [series, "__block"], {"__before": turned}, {"__n": F.sum("__aged")})
+    within = Window.partitionBy(series, "__block").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    return df.select(*names, (F.col("segment") + F.col("__before") + F.sum("__aged").over(within)).cast("long").alias("segment"))
+
+
 def manifest(df: DataFrame, series: str = "series_id", run: str = "run_id", seq: str = "_seq") -> DataFrame:
     """One row per segment: its run, rows, and first and last place."""
     return df.groupBy(series, "segment").agg(F.min_by(run, seq).alias(run), F.count("*").alias("rows"), F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"))
 
 
+def free_numbers(wanted: DataFrame, keys: list[str], order: str, taken: DataFrame | None = None) -> DataFrame:
+    """``wanted`` with ``seq``: per key and in order, the first numbers from 1 on that ``taken`` (keys, seq) does not hold.
+
+    The k-th free number is k plus the taken ones below it. A taken number t that has j smaller ones
+    lies below all free numbers from the (t - j)-th on; so both kinds are put on one scale, and a
+    running count along it is all that is needed. A key has as many rows as a day of a cell has files.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    if taken is None:
+        return wanted.withColumn("seq", rank.cast("long"))
+    held = taken.where("seq > 0").select(*keys, "seq").distinct()
+    held = held.select(*keys, (F.col("seq") - F.row_number().over(Window.partitionBy(*keys).orderBy("seq")) + 1).alias("__rank"), F.lit(1).alias("__held"))
+    both = wanted.withColumn("__rank", rank.cast("long")).unionByName(held, allowMissingColumns=True)
+    scale = Window.partitionBy(*keys).orderBy(F.col("__rank"), F.col("__held").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("seq", (F.col("__rank") + F.coalesce(F.sum("__held").over(scale), F.lit(0))).cast("long"))
+    return both.where(F.col("__held").isNull()).drop("__rank", "__held")
+
+
 def numbered_files(segments: DataFrame, institution: str, day: Column, cell: str = "cell", order: str = "first_seq", taken: DataFrame | None = None) -> DataFrame:
-    """``segments`` with ``seq`` and ``file``: numbers per (cell without case, day) in order of arrival, above those ``taken``.
+    """``segments`` with ``seq`` and ``file``: per (cell without case, day), in order of arrival, the first numbers that are not ``taken``.
 
     ``taken`` has columns cell, day and seq; numbers run from 1, beyond 999 the name raises.
     """
     out = segments.withColumn("__day", day).withColumn("__cell", F.lower(cell))
-    rank = F.row_number().over(Window.partitionBy("__cell", "__day").orderBy(order))
-    base = F.lit(0)
-    if taken is not None:
-        high = taken.groupBy(F.lower("cell").alias("__cell"), F.col("day").alias("__day")).agg(F.max("seq").alias("__base"))
-        out = out.join(high, ["__cell", "__day"], "left")
-        base = F.coalesce(F.col("__base"), F.lit(0))
-    out = out.withColumn("seq", (rank + base).cast("long"))
-    return out.withColumn("file", text.dataset_filename(F.lit(institution), F.col(cell), F.col("__day"), F.col("seq"))).drop("__day", "__cell", "__base")
+    held = None if taken is None else taken.select(F.lower("cell").alias("__cell"), F.col("day").alias("__day"), F.col("seq").cast("long").alias("seq"))
+    out = free_numbers(out, ["__cell", "__day"], order, held)
+    return out.withColumn("file", text.dataset_filename(F.lit(institution), F.col(cell), F.col("__day"), F.col("seq"))).drop("__day", "__cell")
 
 
 def cell_names(series: DataFrame, id_col: str = "series_id", seq: str = "first_seq") -> DataFrame:
