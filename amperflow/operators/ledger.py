@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
+from ..scratch import stored
+from ..sinks.keyed import KeyedTable
 
-VERSION = 1
+VERSION = 2
 INGESTED = "content_hash string, path string, recorded_at timestamp, length long, modified timestamp"
 QUARANTINED = "content_hash string, path string, reason string, quarantined_at timestamp"
 
 
 class Ledger:
-    """Append-only Parquet tables; the newest entry of a hash counts. Single writer."""
+    """Two keyed tables; the newest entry of a hash counts, and the live entries are all that is read. Single writer."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -30,23 +32,19 @@ class Ledger:
             if version != VERSION:
                 raise ValueError(f"the ledger in {folder} has version {version!r}, not {VERSION}")
         else:
-            for name, schema in (("ingested", INGESTED), ("quarantined", QUARANTINED)):
-                spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.folder}/{name}")
             out = fs.create(path, False)
             out.writeBytes(json.dumps({"version": VERSION}))
             out.close()
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        self._ingested = KeyedTable(spark, f"{self.folder}/ingested", INGESTED, "content_hash", "recorded_at")
+        self._quarantined = KeyedTable(spark, f"{self.folder}/quarantined", QUARANTINED, "content_hash", "quarantined_at")
 
     @property
     def ingested(self) -> DataFrame:
-        return self._table("ingested", INGESTED).groupBy("content_hash").agg(F.max_by("path", "recorded_at").alias("path"), F.max("recorded_at").alias("recorded_at"))
+        return self._ingested.rows().select("content_hash", "path", "recorded_at")
 
     @property
     def quarantined(self) -> DataFrame:
-        t = self._table("quarantined", QUARANTINED)
-        return t.groupBy("content_hash").agg(*(F.max_by(c, "quarantined_at").alias(c) for c in ("path", "reason")), F.max("quarantined_at").alias("quarantined_at"))
+        return self._quarantined.rows().select("content_hash", "path", "reason", "quarantined_at")
 
     def new(self, files: DataFrame) -> DataFrame:
         """Files that are neither imported nor set aside; empty ones (null hash) always are new."""
@@ -54,26 +52,25 @@ class Ledger:
 
     def unseen(self, listing: DataFrame) -> DataFrame:
         """Files of a listing (path, length, modified) that no entry names with the same size and time: only those need to be read."""
-        known = self._table("ingested", INGESTED).select("path", "length", "modified").where("modified is not null").distinct()
+        known = self._ingested.rows().select("path", "length", "modified").where("modified is not null").distinct()
         return listing.join(known, ["path", "length", "modified"], "left_anti")
 
     def record(self, files: DataFrame) -> None:
         """Call after the files' rows are written: a crash in between imports them again."""
         seen = [F.col(c) if c in files.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("length", "long"), ("modified", "timestamp"))]
-        files.where("content_hash is not null").select("content_hash", "path", F.current_timestamp().alias("recorded_at"), *seen).write.mode("append").parquet(f"{self.folder}/ingested")
+        self._ingested.merge(files.select("content_hash", "path", F.current_timestamp().alias("recorded_at"), *seen))
 
     def quarantine(self, files: DataFrame) -> int:
         """Set files (content_hash, path, reason) aside; the same reason again changes nothing. Returns how many entries changed."""
         known = self.quarantined.select("content_hash", F.col("reason").alias("__was"))
         changed = files.where("content_hash is not null").join(known, "content_hash", "left").where(~F.col("reason").eqNullSafe(F.col("__was")))
-        rows = changed.select("content_hash", "path", "reason", F.current_timestamp().alias("quarantined_at")).collect()  # a listing of files set aside in one import
-        if rows:
-            self.spark.createDataFrame(rows, QUARANTINED).write.mode("append").parquet(f"{self.folder}/quarantined")
-        return len(rows)
+        changed = stored(changed.select("content_hash", "path", "reason", F.current_timestamp().alias("quarantined_at")), "ledger-changed")
+        self._quarantined.merge(changed)
+        return changed.count()
 
     def reset(self) -> None:
-        for name, schema in (("ingested", INGESTED), ("quarantined", QUARANTINED)):
-            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        self._ingested.clear()
+        self._quarantined.clear()
 
 
 def candidates(spark: SparkSession, folder: str, ledger: Ledger | None = None) -> DataFrame:
