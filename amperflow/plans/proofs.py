@@ -269,13 +269,12 @@ def parquet_sink(spark, sf_dir):
 
 @query(f"WITH {S} SELECT _seq, k::DOUBLE * 0.001::DOUBLE AS voltage_volt, _seq::DOUBLE AS test_time_second FROM s WHERE _seq % 11 <> 0")
 def tailed_file(spark, sf_dir):
-    """A delimited file read by the tail source: mapped, scaled, bad rows out."""
+    """Delimited files read by the tail source in ranges of bytes: mapped, scaled, bad rows out."""
     path = scratch(spark, "tail")
     q = F.col("_seq")
     df = samples(spark, sf_dir).select(q.alias("Time/s"), F.when(q % 11 == 0, "ERR").otherwise(F.col("k").cast("string")).alias("Ewe/mV"), F.lit("a,b").alias("note"))
-    df.repartition(1).write.option("header", True).csv(path)  # a log is one file
-    name = spark.read.format("binaryFile").load(f"{path}/*.csv").select("path").first()[0]
-    out = catalog.csvtail(spark, mounted(name), {"Time/s": "test_time_second", "Ewe/mV": "voltage_volt"}, {"Ewe/mV": 0.001})
+    df.write.option("header", True).csv(path)
+    out = catalog.csvtail(spark, mounted(path), {"Time/s": "test_time_second", "Ewe/mV": "voltage_volt"}, {"Ewe/mV": 0.001}, split=1 << 20)
     return out.select(F.col("test_time_second").cast("long").alias("_seq"), "voltage_volt", "test_time_second")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text, units
 from ..operators import align, gate, project
 from . import charger as bays
-from .csvtail import CsvTailSource
+from .csvtail import SPLIT, CsvTailSource, surveyed
 from .simulator import simulated
 
 
@@ -26,12 +26,18 @@ def simulator(spark: SparkSession, polls: int = 10, steps: int = 3600, stream: b
     return ticks.where(F.col("value") % every == 0).select(step.alias("_seq"), (step * interval).cast("double").alias("test_time_second"), *units.simulated_sample(step, steps))
 
 
-def csvtail(spark: SparkSession, path: str, column_map: dict | str, unit_scale: dict | str | None = None, stream: bool = False) -> DataFrame:
-    """Lines of a CSV file, mapped and scaled; a stream goes on with what is appended."""
+def csvtail(spark: SparkSession, path: str, column_map: dict | str, unit_scale: dict | str | None = None, stream: bool = False, split: int = SPLIT, by_file: bool = False) -> DataFrame:
+    """Records of CSV files (a file, a folder or a pattern), mapped and scaled; a stream goes on with what is appended and with files that come.
+
+    Files are read in ranges of about ``split`` bytes. ``by_file`` makes each file a series of its own.
+    """
     spark.dataSource.register(CsvTailSource)
     column_map, unit_scale = (json.loads(x) if isinstance(x, str) else x for x in (column_map, unit_scale))
-    reader = (spark.readStream if stream else spark.read).format("csvtail").option("path", os.fspath(path)).option("columns", ",".join(column_map))
-    return project.map_and_scale(reader.load(), column_map, unit_scale, keep=("_seq",))[0]
+    reader = (spark.readStream if stream else spark.read).format("csvtail").option("path", os.fspath(path)).option("columns", ",".join(column_map)).option("split", split)
+    if not stream:
+        reader = reader.option("surveyed", surveyed(spark, os.fspath(path), int(split)))
+    df = reader.load().withColumn("series_id", F.regexp_replace(F.element_at(F.split("_file", "/"), -1), r"\.csv$", ""))
+    return project.map_and_scale(df, column_map, unit_scale, keep=("_seq", "series_id") if by_file else ("_seq",))[0]
 
 
 def charger(spark: SparkSession, polls: int = 10, slot: int | None = None, time_base: str = "collection") -> DataFrame:
