@@ -27,8 +27,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={
 WINDOW = 20
 #: Bits that the best window of a candidate needs, by class.
 BITS = {"hex": 2.8, "one_case": 3.5, "mixed": 3.7}
-#: A short word or number: one case with or without digits, or a capitalised word. Mixed case with digits is neither.
-PART = "^(?:[a-z0-9]{0,11}|[A-Z0-9]{0,11}|[A-Z][a-z]{1,10})$"
+#: A short word or number, or one beside the other (``covid19``, ``1080p``). What mixes letters and digits in any other way goes to the entropy test.
+PART = "^(?:[a-z]{0,11}|[A-Z]{0,11}|[A-Z][a-z]{1,10}|[0-9]{0,11}|(?:[a-z]{1,8}|[A-Z]{1,8}|[A-Z][a-z]{1,7})[0-9]{1,4}|[0-9]{1,4}(?:[a-z]{1,3}|[A-Z]{1,3}))$"
 #: Allow list: digits alone, UUIDs, alphabets and counting, integrity hashes. Paths and names of short parts follow in :func:`allowed`.
 ALLOWED = [
     r"^[0-9/_+-]++$",

@@ -5,7 +5,7 @@ template that grows as pages are aligned. A template node (slot) whose text stay
 page to page belongs to the host's template; slots whose text varies hold content. Slots that by
 their element, or by a class, id or role that names nothing else, are menus, headers, footers,
 sidebars, notices, adverts, forms or reader comments are never content, whatever varies in them. A
-name that only contains such a word (``related-work``, ``share-price``) is weak evidence: the slot
+name that also holds other words (``related-work``, ``job-search``) is weak evidence: the slot
 goes where links make up half of its text over all pages. Of the rest, the subtree that holds most of
 the varying text (an article or main element where there is one) is the main text.
 """
@@ -41,6 +41,10 @@ OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising spons
 #: Last words of compound names (``comment-list``, ``cookie-box``) that say no more than that it is a part of a page, and words of names for a layout. Fixed values.
 PARTS = frozenset("area bar block body box bottom button buttons col column container content form group header icon icons inner item items left link links list message outer overlay pane panel post posts right row section slot stories title top unit widgets wrap wrapper".split())
 LAYOUT = frozenset("has no with without hide full".split())
+#: Words of compound names that say whose or where a part is, and outside words that are also what an article may be about. Fixed values.
+PLACES = frozenset("article blog desktop global js left main mobile page post primary reader readers right secondary site sticky sub the user users wp your".split())
+TOPICS = frozenset("alert related respond search share social".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
 LINKED = 0.5
 
@@ -52,15 +56,21 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def named_outside(value: str) -> bool | None:
-    """Whether a class, id or role names a part that is not main text; None where a word in it only hints at that."""
+def named_outside(value: str, within_main: bool = False) -> bool | None:
+    """Whether a class, id or role names a part that is not main text; None where a word in it only hints at that.
+
+    A name tells where all of its words do: those of outside parts, of parts as such, of places and
+    numbers. With any other word (``job-search``, ``fire-alert``) it hints, and so does one that may
+    as well be a topic (``search``) within an article.
+    """
     hint = False
     for name in value.split():
         words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
-        if OUTSIDE_WORDS.isdisjoint(words) or not LAYOUT.isdisjoint(words):
+        outside = OUTSIDE_WORDS.intersection(words)
+        if not outside or not LAYOUT.isdisjoint(words):
             continue
-        last = words[-1]
-        if last in OUTSIDE_WORDS or last in PARTS or last.isdigit():
+        plain = all(w in OUTSIDE_WORDS or w in PARTS or w in PLACES or w.isdigit() for w in words)
+        if plain and not (within_main and outside <= TOPICS):
             return True
         hint = True
     return None if hint else False
@@ -78,7 +88,7 @@ class Node:
             values = [v.strip("\"'").lower() for _, v in ATTRIBUTE.findall(attributes)]
             words = tuple(sorted({w for v in values for w in re.split(r"[^a-z0-9]+", v) if w}))
             if words and tag not in ("html", "body", *MAIN) and not OUTSIDE_WORDS.isdisjoint(words):
-                told = [named_outside(v) for v in values]
+                told = [named_outside(v, within_main) for v in values]
                 named, self.hinted = True in told, None in told
         self.label = (tag, words)
         self.outside = tag in OUTSIDE or (tag == "header" and not within_main) or named
@@ -328,15 +338,15 @@ class Wrapper:
                 of[id(tree)] = slot
             children = collapsed([c for t in members for c in t.children])
             pairs = dict((b, a) for a, b in matching(slot.children, children))
-            at = 0
-            taken = [slot.children[pairs[k]] if k in pairs else None for k in range(len(children))]
+            before, after, at = slot.children, [], 0
             for k, (tree, group) in enumerate(children):
-                target = taken[k]
-                if target is None:
-                    target = Slot(tree)
-                    slot.children.insert(at, target)
-                at = slot.children.index(target) + 1
-                todo.append((target, group))
+                if k in pairs:
+                    after += before[at : pairs[k] + 1]
+                    at = pairs[k] + 1
+                else:
+                    after.append(Slot(tree))
+                todo.append((after[-1], group))
+            slot.children = after + before[at:]
         return of
 
     def judge_hints(self) -> None:
@@ -378,6 +388,15 @@ class Wrapper:
             at = inner[0]
 
 
+def under_main(main: Slot) -> Iterator[Slot]:
+    stack = [main]
+    while stack:
+        s = stack.pop()
+        if not s.outside:
+            yield s
+            stack += s.children
+
+
 def main_texts(pages: list[str | None]) -> list[str]:
     """The main text of each of some pages of one host, blocks joined by an empty line."""
     parsed, wrapper = [], Wrapper()
@@ -398,12 +417,7 @@ def main_texts(pages: list[str | None]) -> list[str]:
         return [""] * len(pages)
     wrapper.judge_hints()
     main = wrapper.main_slot()
-    under, stack = set(), [main]
-    while stack:
-        s = stack.pop()
-        if not s.outside:
-            under.add(id(s))
-            stack += s.children
+    under = {id(s) for s in under_main(main)}
     kept: list[list[tuple[int, str]] | None] = [
         None if p is None else [(id(p[2][id(t)]), text) for t, text, _ in p[1] if id(p[2][id(t)]) in under and not t.outside] for p in parsed
     ]
@@ -411,7 +425,9 @@ def main_texts(pages: list[str | None]) -> list[str]:
     distinct = list({tuple(b): b for b in kept if b}.values())
     seen = Counter(x for b in distinct for x in set(b))
     enough = lambda n: n >= CONSTANT_PAGES and n >= CONSTANT_SHARE * len(distinct)
-    fixed = {x for x, n in seen.items() if enough(n)}
+    # A heading within an article may recur (``Abstract``) and is its own all the same.
+    headings = {id(s) for s in under_main(main) if s.label[0] in HEADINGS} if main.label[0] in MAIN else set()
+    fixed = {x for x, n in seen.items() if enough(n) and x[0] not in headings}
     if fixed:
         witnesses = [b for b in distinct if sum(len(t) for s, t in b if (s, t) in fixed) <= COPY_SHARE * sum(len(t) for _, t in b)]
         again = Counter(x for b in witnesses for x in set(b) & fixed)

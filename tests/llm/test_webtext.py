@@ -130,3 +130,35 @@ def test_every_run_of_a_host_has_its_template(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+TOLD = ["job-search", "market-share", "web-search", "fire-alert", "breaking-alert", "lunch-menu", "house-notice", "search"]
+
+
+@pytest.mark.parametrize("name", TOLD)
+def test_names_alone_drop_nothing(name):
+    """A name with other words in it keeps its text; it goes where links make up half of it."""
+    plain = [f'<article><p>opening number {k} of the story</p><section class="{name}"><p>own paragraph {k} about it {k * 7}</p></section></article>' for k in range(8)]
+    assert all(f"own paragraph {k} about" in t for k, t in enumerate(W.main_texts(plain)))
+    linked = [p.replace("own paragraph", '<a href="x">own paragraph</a> of').replace("</section>", f'<a href="{name}">and another link to page {len(p)}</a></section>') for p in plain]
+    assert all("own paragraph" not in t and "opening number" in t for t in W.main_texts(linked))
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-box-3", "comment-list", "reader-comments", "user-comments", "site-footer", "cookie-notice", "page-sidebar", "notice", "main-menu"])
+def test_names_that_tell(name):
+    pages = [f'<article><p>opening number {k} of the story</p><div class="{name}"><p>varying text {k} of a part {k * 3}</p></div></article>' for k in range(8)]
+    assert W.main_texts(pages) == [f"opening number {k} of the story" for k in range(8)]
+
+
+def test_headings_that_recur():
+    pages = [f"<article><h1>Title {k}</h1><h2>Abstract</h2><p>what {k} is about</p><h2>Conclusion</h2><p>the end of {k}</p></article>" for k in range(8)]
+    assert W.main_texts(pages) == [f"Title {k}\n\nAbstract\n\nwhat {k} is about\n\nConclusion\n\nthe end of {k}" for k in range(8)]
+
+
+def test_wide_pages_take_no_square_time():
+    import time
+
+    pages = ["<article>" + "".join(f'<p class="{"ab"[k % 2]}">{k + j}</p>' for k in range(100_000 + j)) + "</article>" for j in range(2)]
+    start = time.perf_counter()
+    texts = W.main_texts(pages)
+    assert [t.count("\n\n") + 1 for t in texts] == [100_000, 100_001] and time.perf_counter() - start < 30
