@@ -1,11 +1,14 @@
-"""Registered queries whose rows depend on all rows before them, each with its SQL: rotation by time, framing, free numbers."""
+"""More registered queries, each with its SQL: rotation by time, framing, free numbers, producers of rows, deliveries that wait."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import framing, segment
-from .catalogue import ORACLES, QUERIES, query, samples, wire
+from ..scratch import mounted, scratch
+from ..sinks import outbox
+from ..sources import producers
+from .catalogue import ORACLES, QUERIES, query, samples, table, wire
 from .proofs import WIRE
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -65,10 +68,46 @@ n AS (SELECT cell, day, seq, row_number() OVER (PARTITION BY cell, day ORDER BY
 SELECT s_suppkey, w.day, n.seq::BIGINT AS seq FROM w JOIN n ON n.cell = w.cell AND n.day = w.day AND n.k = w.k""")
 def free_file_numbers(spark, sf_dir):
     """The first free numbers where some are taken, with holes between them."""
-    from .catalogue import table
-
     c = table(spark, sf_dir, "customer")
     taken = c.where("c_custkey % 3 <> 0").select(F.col("c_nationkey").alias("cell"), F.col("c_mktsegment").alias("day"), (F.col("c_custkey") % 40 + 1).alias("seq"))
     days = F.broadcast(c.select(F.col("c_mktsegment").alias("day")).distinct())  # market segments: a handful of names
     wanted = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("cell")).crossJoin(days)
     return segment.free_numbers(wanted, ["cell", "day"], "s_suppkey", taken).select("s_suppkey", "day", "seq")
+
+
+def lines_of(name: str, content: bytes):
+    """A producer for the query: a row for each line that is not empty; texts with an address are refused."""
+    if b"@" in content:
+        raise producers.Refused("an address")
+    for k, line in enumerate(content.decode().split("\n")):
+        if line:
+            yield {"line": k, "chars": len(line), "first": line[:8], "unknown": 1}
+
+
+LINES = """d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents), g AS (SELECT * FROM d WHERE text <> '' AND NOT contains(text, '@')),
+l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM g)"""
+
+
+@query(f"""WITH {LINES} SELECT doc_id, lang, line::BIGINT AS line, length(x)::BIGINT AS chars, left(x, 8) AS first, (row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1)::BIGINT AS _seq FROM l WHERE x <> ''""")
+def produced_samples(spark, sf_dir):
+    """Rows that a producer finds in each file, beside the file's own columns."""
+    files = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("content"))
+    return producers.produce(files, lines_of, "line long, chars long, first string", "doc_id")[0]
+
+
+@query(f"""WITH {LINES} SELECT doc_id, CASE WHEN text = '' THEN 'empty' WHEN contains(text, '@') THEN 'an address' ELSE 'no rows' END AS _reason FROM d
+WHERE text = '' OR contains(text, '@') OR doc_id NOT IN (SELECT doc_id FROM l WHERE x <> '')""")
+def refused_files(spark, sf_dir):
+    """Files without a row, and why."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return producers.produce(files, lines_of, "line long, chars long, first string", "doc_id")[1]
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def waiting_rows(spark, sf_dir):
+    """Rows that could not be delivered: all of them wait, each once, although every task was run twice."""
+    folder = mounted(scratch(spark, "outbox"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    for _ in range(2):
+        outbox.deliver(rows, "http://127.0.0.1:9/", folder, "query", delays=(), timeout=2.0).collect()  # the discard port: nobody answers; one row a request
+    return spark.read.schema("o_orderkey long, o_totalprice double, o_orderstatus string").json(f"file://{folder}/*.spool.ndjson")

@@ -157,7 +157,7 @@ def redacted_lines(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", redact.redact_text(t, ["ABC", "ABCDEF", ""]).alias("line"))
 
 
-@query(f"""WITH {S} SELECT _seq, '{{"source":{{"name":"' || run_id || '","api_key":"***","notes":["***-x",{{"password":"***","host":"h"}}]}},"creds":"***","url":"http://***@h","n":' || k || ',"auth":null}}' AS metadata FROM s""")
+@query(f"""WITH {S} SELECT _seq, '{{"source":{{"name":"' || run_id || '","api_key":"***","notes":["***-x",{{"password":"***","host":"h"}}]}},"creds":"***","url":"http://***@h","n":' || k || ',"auth":"***"}}' AS metadata FROM s""")
 def nested_metadata(spark, sf_dir):
     """Nested metadata: secret names mask whatever stands under them, secret values go wherever they are."""
     told = '{"source":{"name":"%s","api_key":"s3cr3t","notes":["s3cr3t-x",{"password":17,"host":"h"}]},"creds":[{"user":"joe","value":"hunter2"}],"url":"http://u:pw@h","n":%d,"auth":null}'

@@ -286,7 +286,7 @@ def test_no_handler_writes_a_secret(capsys):
 
 def test_masked_metadata():
     raw = {"credentials": {"user": "joe", "value": "hunter2"}, "auth": ["tok1"], "path": "/x/hunter2", "items": [{"password": 7}, {"host": "h", "n": 1}], "pin": None, "url": "http://u:p@h"}
-    assert Scrubber(["hunter2"])(raw) == {"credentials": "***", "auth": "***", "path": "/x/***", "items": [{"password": "***"}, {"host": "h", "n": 1}], "pin": None, "url": "http://***@h"}
+    assert Scrubber(["hunter2"])(raw) == {"credentials": "***", "auth": "***", "path": "/x/***", "items": [{"password": "***"}, {"host": "h", "n": 1}], "pin": "***", "url": "http://***@h"}
     assert Scrubber(["ABC", "ABCDEF", "", None]).text("key=ABCDEF short=ABC") == "key=*** short=***"
     assert raw["auth"] == ["tok1"]
 
