@@ -146,11 +146,28 @@ def position(latitude: Column, longitude: Column) -> Column:
     return F.when(latitude.between(-90, 90) & longitude.between(-180, 180), F.struct(latitude.alias("lat"), longitude.alias("lon")))
 
 
-def chemistry(packed: Column) -> Column:
-    """The four-letter code in a packed integer, low byte first, or reversed where that gives letters."""
-    n = packed.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    byte = lambda k: F.chr(F.shiftrightunsigned(n, 8 * k).bitwiseAND(F.lit(255)))
-    tidy = lambda *p: F.regexp_replace(F.concat(*p), r"^[ \x00]+|[ \x00]+$", "")
-    word = lambda s: F.when(s.rlike("^[A-Za-z0-9]{2,}$"), s)
-    bytes_ = [byte(k) for k in range(4)]
-    return F.coalesce(word(tidy(*bytes_)), word(tidy(*bytes_[::-1])))
+def ascii_code(numbers: Column) -> Column:
+    """The letters and digits that bytes (as numbers) spell, at least two; other bytes than ASCII are left out, blanks and zeros at the ends too."""
+    spelled = F.array_join(F.transform(F.filter(numbers, lambda x: x < 128), lambda x: F.chr(x)), "")
+    return bound(F.regexp_replace(spelled, r"^[ \x00]+|[ \x00]+$", ""), lambda s: F.when(s.rlike("^[A-Za-z0-9]{2,}$"), s))
+
+
+def chemistry(value: Column, kind: str = "number") -> Column:
+    """The code of a pack's chemistry, in any of the shapes in which packs tell it.
+
+    ``number``: four bytes in an integer, low byte first, or reversed where that spells something;
+    ``bytes``: binary; ``numbers``: an array of byte values, null where one is null; ``text``: as it is.
+    """
+    low = lambda x: x.cast("long").bitwiseAND(F.lit(255))
+    if kind == "text":
+        return clean(value)
+    if kind == "numbers":
+        return F.when(~F.exists(value, lambda x: x.isNull()), ascii_code(F.transform(value, low)))
+    if kind == "bytes":
+        pairs = F.regexp_extract_all(F.hex(value), F.lit("(..)"), F.lit(1))
+        return ascii_code(F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("long")))
+    if kind != "number":
+        raise ValueError(f"no kind of chemistry {kind!r}")
+    n = value.cast("long")
+    bytes_ = F.array(*(low(F.shiftright(n, 8 * k)) for k in range(4)))
+    return bound(bytes_, lambda b: F.coalesce(ascii_code(b), ascii_code(F.reverse(b))))

@@ -49,6 +49,11 @@ def test_names_and_files(spark):
             one(spark, text.dataset_filename(F.lit(bad[0]), F.lit(bad[1]), F.lit("2024-01-02").cast("date"), F.lit(bad[2])))
     assert one(spark, text.file_kind(F.lit("A.TXT"))) == "txt" and one(spark, text.file_kind(F.lit("a.csv"))) == "unknown"
     assert one(spark, text.chemistry(F.lit(1852787020))) == "LIon" and one(spark, text.chemistry(F.lit(1))) is None
+    told = [(b"LiP\x00", "bytes", "LiP"), (b"\xffLI\x80ON ", "bytes", "LION"), (b"L", "bytes", None), (b"", "bytes", None), (b"Li-P", "bytes", None), (None, "bytes", None), ([76, 105, 80 + 256, 0], "numbers", "LiP"), ([], "numbers", None), ([76, None], "numbers", None), ("  NiMH ", "text", "NiMH"), (" ", "text", None), (0x4C69F050, "number", "PiL"), (0x50694C00, "number", "LiP"), (-1, "number", None)]
+    types = {"bytes": "binary", "numbers": "array<int>", "text": "string", "number": "long"}
+    for value, kind, want in told:
+        found = spark.createDataFrame([(value,)], f"v {types[kind]}").select(text.chemistry(F.col("v"), kind)).first()[0]
+        assert found == want, (value, kind, found)
     assert one(spark, text.content_hash(F.lit(""))) is None
     assert one(spark, text.instant(F.lit("1970-01-01T00:00:00Z"))) is None and str(one(spark, text.instant(F.lit("2024-05-01T10:00:00.5+02:00")).cast("string"))) == "2024-05-01 08:00:00.5"
 

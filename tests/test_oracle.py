@@ -2,7 +2,7 @@
 
 import pytest
 
-from amperflow.plans.orders import ORACLES, QUERIES
+from amperflow.plans.captures import ORACLES, QUERIES
 
 from .oracle import compare, connect
 
