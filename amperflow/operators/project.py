@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as names
 from ..functions import units
+from ..functions.bind import bound
 from ..schema import RESERVED, ordered_columns
 
 
@@ -58,15 +59,20 @@ def phone_sample(sysfs: Column, fields: Column, include_soc: bool = False) -> li
 
     Current comes from the first of current_now, current_avg and the dump, signed by the status.
     """
-    of = lambda m, k: units.strict_double(F.try_element_at(m, F.lit(k)))
-    code = of(fields, "status").cast("int")
-    status = F.coalesce(names.clean(F.try_element_at(sysfs, F.lit("status"))), names.battery_status(code))
-    current = F.coalesce(units.amperes(of(sysfs, "current_now")), units.amperes(of(sysfs, "current_avg")), units.amperes(of(fields, "current_now")))
-    volt = F.coalesce(units.volts(of(sysfs, "voltage_now")), units.volts(of(fields, "voltage")))
-    warm = units.celsius(F.coalesce(of(sysfs, "temp"), of(fields, "temperature")))
-    out = [volt.alias("voltage_volt"), units.signed_by_status(current, status).alias("current_ampere"), warm.alias("surface_temperature_celsius"), status.alias("charge_status")]
+    # Each number is bound before its unit is guessed: rules that name their input several times, one
+    # in another, would write it out a thousand times.
+    of = lambda m, k: bound(F.try_element_at(m, F.lit(k)), units.strict_double)
+    unit = lambda rule, *numbers: F.coalesce(*(bound(x, rule) for x in numbers))
+    code = bound(of(fields, "status").cast("int"), names.battery_status)
+    status = F.coalesce(names.clean(F.try_element_at(sysfs, F.lit("status"))), code)
+    current = unit(units.amperes, of(sysfs, "current_now"), of(sysfs, "current_avg"), of(fields, "current_now"))
+    volt = unit(units.volts, of(sysfs, "voltage_now"), of(fields, "voltage"))
+    warm = unit(units.celsius, F.coalesce(of(sysfs, "temp"), of(fields, "temperature")))
+    signed = bound(current, lambda c: bound(status, lambda s: units.signed_by_status(c, s)))
+    out = [volt.alias("voltage_volt"), signed.alias("current_ampere"), warm.alias("surface_temperature_celsius"), status.alias("charge_status")]
     if include_soc:
-        out.append(F.coalesce(units.clamped_percent(of(sysfs, "capacity")), units.level_percent(of(fields, "level"), of(fields, "scale"))).alias("state_of_charge_percent"))
+        level = bound(of(fields, "level"), lambda n: bound(of(fields, "scale"), lambda most: units.level_percent(n, most)))
+        out.append(F.coalesce(unit(units.clamped_percent, of(sysfs, "capacity")), level).alias("state_of_charge_percent"))
     return out
 
 

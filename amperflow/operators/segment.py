@@ -31,29 +31,41 @@ def with_segments(df: DataFrame, rows: int | None = None, series: str = "series_
     """``df`` with ``segment``: 1-based per series; a new one with every change of run and every ``rows`` rows.
 
     A run that comes back starts another segment. Null series are one series, null runs one run. The
-    places of a series are cut into blocks, so that no series is one task: windows run within blocks,
-    and sums of blocks carry runs, counts and starts from one to the next.
+    places of a series are cut into blocks, so that no series is one task. ``df`` is read once: one
+    sorted pass counts within blocks and is written; from one row a block follows what each block
+    begins with, and that is joined to the rows. So a ``_seq`` that another reading would give anew is
+    no harm.
     """
-    keys = [series, "__block"]
-    cut = df.withColumn("__block", F.floor(F.col(seq) / block))
-    within, blocks = Window.partitionBy(*keys).orderBy(seq), Window.partitionBy(series).orderBy("__block")
-    earlier, up_to = blocks.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(Window.unboundedPreceding, 0)
-    total = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
-    opens = (F.row_number().over(blocks) == 1) | ~F.col("__run0").eqNullSafe(F.lag("__run1").over(blocks))
-    out = _carried(cut, keys, {"__opens": opens, "__before": total("__n")}, {"__run0": F.min_by(run, seq), "__run1": F.max_by(run, seq), "__n": F.count("*")})
-    place = F.row_number().over(within)
-    change = F.when(place == 1, F.col("__opens")).otherwise(~F.col(run).eqNullSafe(F.lag(run).over(within)))
-    out = out.withColumn("__change", change).withColumn("__at", F.col("__before") + place)
-    turn = F.col("__change")
-    if rows:
-        start = F.when(F.col("__change"), F.col("__at"))
-        out = _carried(out, keys, {"__start": F.max("__last").over(earlier)}, {"__last": F.max(start)})
-        began = F.coalesce(F.max(start).over(up_to), F.col("__start"))
-        turn = (F.col("__at") - began) % rows == 0
-    out = out.withColumn("__turn", turn.cast("long"))
-    out = _carried(out, keys, {"__turned": total("__turns")}, {"__turns": F.sum("__turn")})
-    out = out.withColumn("segment", (F.col("__turned") + F.sum("__turn").over(up_to)).cast("long"))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns), "segment")
+    names, keys = [F.col(f"`{c}`") for c in df.columns], [series, "__block"]
+    within = Window.partitionBy(*keys).orderBy(seq)
+    up_to = within.rowsBetween(Window.unboundedPreceding, 0)
+    place, began, opens = F.col("__place"), F.col("__began"), F.col("__opens")
+    cut = df.withColumn("__block", F.floor(F.col(seq) / block)).withColumn("__place", F.row_number().over(within).cast("long"))
+    change = (place > 1) & ~F.col(run).eqNullSafe(F.lag(run).over(within))
+    # Within a block: where the run of a row began (null in what may go on from the block before), and the turns since.
+    cut = cut.withColumn("__began", F.max(F.when(change, place)).over(up_to))
+    turn = (place == began) if not rows else (place - began) % rows == 0
+    cut = stored(cut.withColumn("__turns", F.sum(F.coalesce(turn, F.lit(False)).cast("long")).over(up_to)), "segment-blocks")
+    per = cut.groupBy(*keys).agg(F.count("*").alias("__n"), F.min_by(run, seq).alias("__run0"), F.max_by(run, seq).alias("__run1"), F.count_if(began.isNull()).alias("__first"), F.max("__turns").alias("__turned"), F.max("__began").alias("__last"))
+    blocks = Window.partitionBy(series).orderBy("__block")  # one row a block
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0).cast("long"))
+    per = per.withColumn("__opens", (F.row_number().over(blocks) == 1) | ~F.col("__run0").eqNullSafe(F.lag("__run1").over(blocks))).withColumn("__before", total("__n"))
+    per = per.withColumn("__start", F.when(F.col("__last").isNotNull(), F.col("__before") + F.col("__last")).when(opens, F.col("__before") + 1))
+    per = per.withColumn("__offset", F.when(opens, 0).otherwise(F.col("__before") + 1 - F.max("__start").over(earlier)).cast("long"))
+
+    def piece(n: Column) -> Column:
+        """Turns in the first ``n`` rows of a block, as far as they go on from the block before."""
+        if not rows:
+            return opens.cast("long")
+        return F.ceil((F.col("__offset") + n) / rows) - F.ceil(F.col("__offset") / rows)
+
+    per = per.withColumn("__piece", F.when(F.col("__first") > 0, piece(F.col("__first"))).otherwise(F.lit(0)).cast("long"))
+    per = per.withColumn("__carried", total(F.col("__piece") + F.col("__turned")))
+    per = per.select(F.col(series).alias("__of"), F.col("__block").alias("__at"), "__opens", "__offset", "__piece", "__carried")
+    out = cut.join(per, F.col(series).eqNullSafe(F.col("__of")) & F.col("__block").eqNullSafe(F.col("__at")))
+    number = F.col("__carried") + F.when(began.isNull(), piece(place)).otherwise(F.col("__piece") + F.col("__turns"))
+    return out.select(*names, number.cast("long").alias("segment"))
 
 
 def with_aged_segments(df: DataFrame, seconds: float, time: str, rows: int | None = None, series: str = "series_id", run: str = "run_id", seq: str = "_seq", block: int = BLOCK) -> DataFrame:
