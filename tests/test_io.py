@@ -81,8 +81,6 @@ def test_tape(spark, tmp_path):
     frames, faults = tape.read_tape(spark, str(p))
     assert [(r.t, bytes(r.data).hex(), r.meta) for r in frames.orderBy("line").collect()] == [(0.0, "0e74", None), (1.5, "0e6a", '{"a":1}'), (3600.0, "0e10", None)]
     assert {r.line: r.fault for r in faults.collect()} == {4: "t goes back", 5: "t is no number", 6: "data is no hex", 7: "meta is no object", 8: "t is negative"}
-    seen, slept = [], []
-    assert tape.replay(frames, seen.append, pace=10, sleep=slept.append) == 3 and slept == [0.15, 359.85]
     recorder = tape.Recorder(str(tmp_path / "r.jsonl"), clock=iter([0.0, 0.5]).__next__)
     recorder(b"\x01", {"k": "v"})
     recorder.close()
