@@ -5,7 +5,7 @@ candidates (groups of digits with separators, spelled-out or spaced mail address
 Boosted trees, grown in numpy on the driver from generated examples of national formats with words
 near them in four languages, become CASE expressions over features that Spark computes; Platt scaling
 turns their sum into a probability, and a threshold chosen on held-out examples selects what is
-added, of overlapping candidates the likeliest. Executors run DataFrame expressions only.
+added, the likeliest first, then whatever overlaps none chosen. Executors run DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS, EXTRA = ("email", "ip", "card", "phone"), "scored"
 #: Generators of further candidates. They propose too much on purpose; none repeats without a bound or gives back.
 DIGIT_GROUPS = r"(?<![A-Za-z0-9])\(?[0-9](?:[().\x20/-]{0,2}[0-9]){6,24}+(?![A-Za-z0-9])"
+#: One group of digits beside another one, which the generator before takes as one: both are proposed.
+ONE_GROUP = r"(?:(?<=[0-9]\x20)\(?[0-9](?:[()./-]{0,2}[0-9]){6,17}+(?![A-Za-z0-9])|(?<![A-Za-z0-9])\(?[0-9](?:[()./-]{0,2}[0-9]){6,17}+(?=\x20\(?[0-9]))"
 SPELLED_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|@)\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++){1,8}+"
 CODED = r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?|[A-Z]{2}\x20?[0-9]{2}\x20?[0-9]{2}\x20?[0-9]{2}\x20?[A-D]|[0-9]{8}-?[A-Z])(?![A-Za-z0-9])"
 REACH = 40
@@ -191,7 +193,7 @@ def with_personal(df: DataFrame, text: str = "text", prefix: str = "__pii") -> D
     """``df`` with columns ``{prefix}_email``, ``_ip``, ``_card``, ``_phone`` and ``_scored`` of spans.
 
     A null or empty text has no spans; matches that fail their check are dropped and not retried.
-    Scored spans are added where they lie in no base span; of those that overlap the likeliest.
+    Scored spans are added where they lie in no base span, the likeliest first.
     """
     t = F.col(text)
     some = t.rlike("[0-9]")
@@ -203,14 +205,16 @@ def with_personal(df: DataFrame, text: str = "text", prefix: str = "__pii") -> D
     df = with_spans(df, f"{prefix}_phone", text, PHONE, t.rlike(r"\+[0-9]"))
     df = df.withColumn(f"{prefix}_phone", F.filter(f"{prefix}_phone", lambda x: F.length(digits_of(x.m)).between(9, 15)))
     base = [f"{prefix}_{k}" for k in KINDS]
-    gates = {"c1": (DIGIT_GROUPS, t.rlike(r"[0-9](?:[().\x20/-]{0,2}[0-9]){6}")), "c2": (SPELLED_MAIL, t.rlike(r"@|\(at\)|\[at\]")), "c3": (CODED, t.rlike("[A-Z]{2}\x20?[0-9]{2}|[0-9]{8}-?[A-Z]"))}
+    gates = {"c1": (DIGIT_GROUPS, t.rlike(r"[0-9](?:[().\x20/-]{0,2}[0-9]){6}")), "c4": (ONE_GROUP, t.rlike(r"[0-9](?:[()./-]{0,2}[0-9]){6}")), "c2": (SPELLED_MAIL, t.rlike(r"@|\(at\)|\[at\]")), "c3": (CODED, t.rlike("[A-Z]{2}\x20?[0-9]{2}|[0-9]{8}-?[A-Z]"))}
     for name, (pattern, gate) in gates.items():
         df = with_spans(df, f"{prefix}_{name}", text, pattern, gate)
+    # Digits that all stand alone are a listing or a table and no number of anybody's.
+    df = df.withColumn(f"{prefix}_c1", F.filter(f"{prefix}_c1", lambda x: x.m.rlike("[0-9][().-]?[0-9]")))
     # Groups of digits that touch a base span are its own; codes and addresses may reach beyond one.
     some = F.size(F.concat(*(F.col(f"{prefix}_{c}") for c in gates))) > 0
     wide = F.concat(F.col(f"{prefix}_c2"), F.col(f"{prefix}_c3"))
     none = F.array().cast(SPAN)
-    df = df.withColumn(f"{prefix}_c", F.when(some, F.concat(away_from(F.col(f"{prefix}_c1"), base), not_within(wide, base))).otherwise(none))
+    df = df.withColumn(f"{prefix}_c", F.when(some, F.concat(away_from(F.concat(f"{prefix}_c1", f"{prefix}_c4"), base), not_within(wide, base))).otherwise(none))
     some = F.size(f"{prefix}_c") > 0
     blocks = F.when(some, text_blocks(t)).otherwise(F.array().cast("array<string>"))
 
@@ -252,22 +256,25 @@ def not_within(spans: Column, others: Sequence[str]) -> Column:
 
 
 def likeliest(spans: Column) -> Column:
-    """Of spans (with p) in each run of overlapping ones the likeliest; of equally likely ones the first."""
-    kind = "struct<c:int,p:double,k:int>"
-    zero = F.struct(F.lit(-1).alias("c"), F.lit(-1.0).alias("p"), F.lit(-1).alias("k"))
+    """Of spans (with p) the likeliest, then again the likeliest of those that overlap none chosen; of equally likely ones the first.
 
-    def chosen(a: Column) -> Column:
-        reach = running(F.transform(a, lambda x: x.e), F.lit(0), lambda p, q: F.greatest(p, q))
-        fresh = lambda reach: F.transform(a, lambda x, k: F.when((k == 0) | (x.s >= F.get(reach, k - 1)), 1).otherwise(0))
+    Spans are cut into chains of overlapping ones, and chosen within each.
+    """
+    kind = "array<struct<n:double,s:int,e:int,m:string>>"
 
-        def best(run: Column) -> Column:
-            each = F.zip_with(a, run, lambda x, c: F.struct(c.alias("c"), x.p.alias("p")))
-            each = F.transform(each, lambda y, k: F.struct(y.c.alias("c"), y.p.alias("p"), k.alias("k")))
-            so_far = running(each, zero, lambda p, q: F.when((q.c > p.c) | (q.p > p.p), q).otherwise(p), kind)
-            last = lambda scan: F.filter(scan, lambda y, k: (k == F.size(run) - 1) | (F.get(run, k + 1) > y.c))
-            return bound(so_far, lambda scan: F.transform(last(scan), lambda y: bound(F.get(a, y.k), lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), x.m.alias("m")))))
+    def greedy(chain: Column) -> Column:
+        order = F.array_sort(F.transform(chain, lambda x: F.struct((-x.p).alias("n"), x.s.alias("s"), x.e.alias("e"), x.m.alias("m"))))
+        free = lambda acc, x: ~F.exists(acc, lambda y: (y.s < x.e) & (x.s < y.e))
+        return F.aggregate(order, F.array().cast(kind), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+
+    def chosen(a: Column) -> Column:
+        def chains(reach: Column) -> Column:
+            starts = F.filter(F.transform(a, lambda x, k: F.when((k == 0) | (x.s >= F.get(reach, k - 1)), k)), lambda k: k.isNotNull())
+            return bound(starts, lambda t: F.transform(t, lambda k, j: F.slice(a, k + 1, F.coalesce(F.get(t, j + 1), F.size(a)) - k)))
 
-        return F.when(F.size(a) > 0, bound(running(bound(reach, fresh), F.lit(0), lambda p, q: p + q), best)).otherwise(F.array().cast(SPAN))
+        picked = lambda c: F.flatten(F.transform(c, lambda x: bound(x, greedy)))
+        plain = lambda p: F.array_sort(F.transform(p, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), x.m.alias("m"))))
+        return F.when(F.size(a) > 0, plain(picked(bound(bound(F.transform(a, lambda x: x.e), lambda e: running(e, F.lit(0), lambda p, q: F.greatest(p, q))), chains)))).otherwise(F.array().cast(SPAN))
 
     return bound(F.array_sort(spans), chosen)
 

@@ -93,11 +93,34 @@ def test_likeliest_of_overlapping(spark):
     df = spark.createDataFrame([(spans,), ([],)], "x array<struct<s:int,e:int,m:string,p:double>>")
     got = [[x.m for x in r[0]] for r in df.select(P.likeliest(F.col("x"))).collect()]
     assert got == [["b", "d", "e"], []]
+    chain = [(0, 5, "a", 0.95), (3, 9, "b", 0.9), (8, 12, "c", 0.94)]
+    df = spark.createDataFrame([(chain,)], "x array<struct<s:int,e:int,m:string,p:double>>")
+    assert [x.m for x in df.select(P.likeliest(F.col("x"))).first()[0]] == ["a", "c"]
+    # Against the plain loop, over long and short chains.
+    rng, rows = random.Random(6), []
+    for _ in range(60):
+        spans = [(s, s + rng.randint(1, 9), f"m{k}", rng.choice([0.5, 0.6, 0.7, 0.8, 0.9])) for k, s in enumerate(rng.randint(0, 60) for _ in range(rng.randint(1, 25)))]
+        rows.append(spans)
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, x array<struct<s:int,e:int,m:string,p:double>>").select("k", P.likeliest(F.col("x")).alias("y")).collect()
+    for r in got:
+        want: list = []
+        for x in sorted(rows[r.k], key=lambda x: (-x[3], x[0], x[1], x[2])):
+            if all(x[0] >= y[1] or y[0] >= x[1] for y in want):
+                want.append(x)
+        assert [tuple(y) for y in r.y] == sorted(x[:3] for x in want)
+
+
+def test_neighbours_are_proposed_alone_too(spark):
+    rows = ["phone 2125550187 4155550123", "call 212-555-0187 415-555-0123", "phone 2125550187"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in P.scan_personal(docs).collect()}
+    assert got == {0: "scored:6:16,scored:17:27", 1: "scored:5:17,scored:18:30", 2: "scored:6:16"}
 
 
 def test_very_long_texts(spark):
     rows = ["1 " * 500_000 + "x", "a@b.cc " * 20_000, "x.y." * 300_000, "call 0171-5551234, " * 2_000 + "z" * 500_000]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r.doc_id: r for r in P.scan_personal(docs).collect()}
+    assert got[0].spans == ""
     assert got[1].n_email == 20_000 and got[3].spans.count("scored") == 2_000
     assert P.redact_personal(docs).where("doc_id = 1").first().text == "[PII] " * 20_000
