@@ -42,11 +42,12 @@ def test_cell_names(spark):
     assert len({v.lower() for v in got.values()}) == 6
 
 
-def test_numbers_go_on(spark):
+def test_numbers_are_the_first_free_ones(spark):
+    """Taken numbers are passed over, without regard to the cell's case; holes between them are used."""
     m = spark.createDataFrame([("Cell", 1, 10), ("cell", 2, 5)], "cell string, segment long, first_seq long")
-    taken = spark.createDataFrame([("CELL", "2024-01-01", 4)], "cell string, day string, seq int").withColumn("day", F.to_date("day"))
-    got = segment.numbered_files(m, "I", F.lit("2024-01-01").cast("date"), taken=taken).orderBy("seq").collect()
-    assert [(r.seq, r.file) for r in got] == [(5, "I__cell__20240101_005.bdf.csv"), (6, "I__Cell__20240101_006.bdf.csv")]
+    number = lambda *taken: [(r.seq, r.file) for r in segment.numbered_files(m, "I", F.lit("2024-01-01").cast("date"), taken=spark.createDataFrame([("CELL", "2024-01-01", n) for n in taken], "cell string, day string, seq int").withColumn("day", F.to_date("day"))).orderBy("seq").collect()]
+    assert number(4) == [(1, "I__cell__20240101_001.bdf.csv"), (2, "I__Cell__20240101_002.bdf.csv")]
+    assert number(1, 2, 4) == [(3, "I__cell__20240101_003.bdf.csv"), (5, "I__Cell__20240101_005.bdf.csv")]
 
 
 def test_align(spark):
