@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import frames, redact, text, units
 from ..operators import align as alignment
 from ..operators import gate, ledger, project, segment, summary
-from ..scratch import mounted, scratch
+from ..scratch import mounted, scratch, stored
 from ..sinks import feed, parquet
 from ..sources import catalog, tape
 from .catalogue import ORACLES, QUERIES, S, query, samples, table, values, wire
@@ -26,7 +26,8 @@ ok AS (SELECT * FROM c WHERE NOT (_seq % 10 = 0 AND chk <> 255) AND NOT (_seq %
 
 
 def readings(spark, sf_dir):
-    return wire(spark, sf_dir).withColumn("r", frames.progress(F.col("frame"))).where("r is not null")
+    """Frames as they were captured, decoded. They are written first: a capture is not made from its own fields in one plan."""
+    return stored(wire(spark, sf_dir), "wire").withColumn("r", frames.progress(F.col("frame"))).where("r is not null")
 
 
 @query(f"""WITH {WIRE} SELECT _seq, mv::DOUBLE / 1000 AS voltage_volt, (CASE WHEN status = 2 THEN -1 ELSE 1 END * ma)::DOUBLE / 1000 AS current_ampere, temp::DOUBLE AS surface_temperature_celsius,

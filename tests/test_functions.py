@@ -1,5 +1,8 @@
 """Scalar functions against literal values."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +108,32 @@ def test_redaction(spark):
         redact.header_value("token", "a\r\nb")
     row = spark.createDataFrame([(float("nan"), 1.5, None, b"\x00\x01")], "a double, b double, c string, d binary")
     assert row.select(redact.json_row(dict(row.dtypes))).first()[0] == '{"a":null,"b":1.5,"c":null,"d":"AAE="}'
+
+
+def test_metadata_is_masked_as_a_walk_over_the_parsed_text_masks_it(spark):
+    rng = random.Random(5)
+    names = ["a", "token", "apiKey", "user", "spinner", 'x"y', "pass word", "auth", "päss"]
+    texts = ["s3cr3t", "plain", "http://u:p@h/x", 'a"b', "back\\slash", "tab\t", 's3cr3t " x', "", "[{", "}]:,", "\U0001f600", " "]
+
+    def value(depth):
+        kind = rng.random() if depth else 1
+        if kind < 0.3:
+            return {rng.choice(names): value(depth - 1) for _ in range(rng.randrange(4))}
+        return [value(depth - 1) for _ in range(rng.randrange(4))] if kind < 0.5 else rng.choice([None, True, 1, 2.5, *texts])
+
+    rows = [(k, json.dumps(value(6), ensure_ascii=k % 2 == 0, indent=2 if k % 3 == 0 else None)) for k in range(400)]
+    rows.append((400, json.dumps([{"password": "x", "n": k, "s": "s3cr3t"} for k in range(2000)])))  # many slices
+    rows.append((401, "[" * 20_000 + "]" * 20_000))
+    found = dict(spark.createDataFrame(rows, "k int, t string").select("k", redact.redact_json(F.col("t"), ["s3cr3t"])).collect())
+    walk = redact.Scrubber(["s3cr3t"])
+    assert all(json.loads(found[k]) == walk(json.loads(t)) for k, t in rows[:-1])
+    assert found[401] == rows[-1][1]
+
+
+def test_metadata_that_is_no_json_shows_no_secret_either(spark):
+    told = {
+        None: None, "": "", " ": " ", "user password: s3cr3t": "user password: ***", '{"password": "abc': '{"password": "***"', '{"password": "abc:': '{"password": "***"', '{"password": [1,{"x":"abc"': '{"password": "***"', '{"a":1,"a":"s3cr3t"}': '{"a":1,"a":"***"}',
+        '{"token" : null , "b":2}': '{"token" : "***" , "b":2}', '{"pass\\u0077ord":1}': '{"pass\\u0077ord":"***"}', '{"a":"\\u00733cr3t"}': '{"a":"***"}', '{"pin":1,"pin":2}': '{"pin":"***","pin":"***"}', "x http://u:p@h": "x http://***@h", '"': '"',
+    }
+    found = spark.createDataFrame([(t,) for t in told], "t string").select("t", redact.redact_json(F.col("t"), ["s3cr3t"])).collect()
+    assert dict(map(tuple, found)) == told
