@@ -12,6 +12,7 @@ from ..functions import text, units
 from ..operators import align, gate, project
 from . import charger as bays
 from .csvtail import SPLIT, CsvTailSource, surveyed
+from .discovery import captures
 from .simulator import simulated
 
 
@@ -97,3 +98,8 @@ def packs(spark: SparkSession, status: str, full: str, cycles: str) -> DataFrame
     s = align.align(s, read(cycles, "CycleCount"), ["CycleCount"])
     fields = {"voltage_mv": F.col("Voltage"), "charge_mw": F.col("ChargeRate"), "discharge_mw": F.col("DischargeRate"), "remaining_mwh": F.col("RemainingCapacity")}
     return s.select("key", F.col("pos").alias("_seq"), *project.power_pack(fields, F.col("FullChargedCapacity"), F.col("CycleCount")))
+
+
+csvtail.discover = captures("path", ".csv")
+flightlog.discover = captures("path", ".csv")
+phone.discover = captures("path", ".json", ".ndjson", ".jsonl")

@@ -21,7 +21,7 @@ from ..operators.ledger import Ledger
 from ..scratch import scratch
 from ..sinks.feed import write_feed
 from ..sinks.feed_stream import FeedStream, stream_feed
-from ..sources import registry
+from ..sources import discovery, registry
 from . import collect as looping
 from . import config as settings
 
@@ -34,8 +34,11 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="amperflow", description=__doc__)
     sub = p.add_subparsers(dest="verb", required=True)
     sub.add_parser("sources", help="known sources and their options")
-    d = sub.add_parser("discover", help="which sources can run here")
+    d = sub.add_parser("discover", help="what sources could read under a folder")
     d.add_argument("--json", action="store_true")
+    d.add_argument("--source")
+    d.add_argument("--path", default=".")
+    d.add_argument("--opt", action="append", default=[], metavar="KEY=VALUE")
     for verb in ("collect", "import"):
         c = sub.add_parser(verb)
         c.add_argument("--config")
@@ -133,6 +136,43 @@ def planned(args: argparse.Namespace) -> tuple[Callable, dict, dict]:
     return registry.source(name), plan, options
 
 
+def discover(args: argparse.Namespace) -> int:
+    """Candidates of one source or of all, as lines to be used or as JSON. None found is no error."""
+    try:
+        options = settings.parse_options(args.opt)
+        if options and args.source is None:
+            raise ValueError("--opt needs --source")
+        if args.source is not None:
+            registry.source(args.source)
+    except (KeyError, ValueError) as e:
+        print(f"error: {e.args[0]}", file=sys.stderr)
+        return 2
+    spark = SparkSession.builder.appName("amperflow").getOrCreate()
+    scrub = Scrubber(settings.secrets_of(options))
+    try:
+        if args.source is None:
+            found, notes = discovery.sweep(spark, args.path)
+        else:
+            found, notes = discovery.candidates(spark, args.source, args.path, **options).withColumn("source", F.lit(args.source)), {}
+        rows = [json.loads(r[0]) for r in found.orderBy("source", "value").select(F.to_json(F.struct(*found.columns))).toLocalIterator()]
+    except Exception as e:  # noqa: BLE001 -- whatever a third party's scan raises
+        print(f"error: {scrub.text(str(e))}", file=sys.stderr)
+        return 2
+    if args.json:
+        listed: dict[str, list] = {}
+        for r in rows:
+            listed.setdefault(r.pop("source"), []).append(r)
+        print(json.dumps({"candidates": listed, "notes": notes}))
+        return 0
+    for r in rows:
+        print(f"{r['source']}: {r['value']} ({r['bytes']} bytes)" + (f"  -> collect --source {r['source']} --opt {r['option']}={r['value']}" if r["ready"] else "  not ready"))
+    for name, note in sorted(notes.items()):
+        print(f"{name}: {note}")
+    if not rows and not notes:
+        print("nothing found")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.verb == "sources":
@@ -140,9 +180,7 @@ def main(argv: list[str] | None = None) -> int:
             print(name, json.dumps({k: "***" if v is not None and secret_name(k) else v for k, v in registry.options(name).items()}, default=str))
         return 0
     if args.verb == "discover":
-        found = [{"source": n, "unavailable": registry.availability(n)} for n in sorted(registry.available_sources())]
-        print(json.dumps({"candidates": [f["source"] for f in found if not f["unavailable"]], "notes": [f for f in found if f["unavailable"]]}) if args.json else "\n".join(f["source"] for f in found))
-        return 0
+        return discover(args)
     try:
         make, plan, options = planned(args)
     except (settings.ConfigError, KeyError, ValueError, TypeError) as e:
