@@ -232,6 +232,7 @@ def surveyed(spark: SparkSession, path: str, split: int = SPLIT) -> str:
             if n and first > head["byte"]:
                 places.append({"byte": first, "seq": seq + 1, "header": head["header"]})
             inside, seq, end = state, seq + n, last if n else end
-        places = [q for q in places if q["byte"] < end]
+        if not (places := [q for q in places if q["byte"] < end]):
+            continue  # a header alone
         found += [Range(p, a["byte"], b["byte"], a["seq"], a["header"]).__dict__ for a, b in zip(places, [*places[1:], {"byte": end}], strict=True)]
     return json.dumps(found)

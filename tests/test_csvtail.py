@@ -94,3 +94,14 @@ def test_series_by_file_and_nothing(spark, tmp_path):
     assert sorted((r.series_id, r.voltage_volt) for r in out) == [("x", 3.5), ("y", 3.25)]
     with pytest.raises(Exception, match="ASCII"):
         load(spark, tmp_path, 10, False, encoding="utf-16").collect()
+
+
+def test_a_header_alone_among_files(spark, tmp_path):
+    """As Spark writes it where the first of its partitions has no rows."""
+    (tmp_path / "a.csv").write_text("v\n")
+    (tmp_path / "b.csv").write_text("v\n3.5\n")
+    (tmp_path / "c.csv").write_text("v")
+    out = catalog.csvtail(spark, str(tmp_path), {"v": "voltage_volt"}, by_file=True).collect()
+    assert [(r.series_id, r.voltage_volt) for r in out] == [("b", 3.5)]
+    (tmp_path / "b.csv").unlink()
+    assert catalog.csvtail(spark, str(tmp_path), {"v": "voltage_volt"}).count() == 0
