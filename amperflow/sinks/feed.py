@@ -112,8 +112,9 @@ class FeedWriter(DataSourceWriter):
             with open(part, "w", encoding="utf-8") as f:
                 f.write(",".join(self.out) + "\n")
             files = [{"part": part, "cell": segment.DEFAULT, "segment": 1, "series_id": None, "run_id": None, "rows": 0, "info": {}, "started": datetime.now(UTC).isoformat()}]
+        last: dict[str, int] = {}
         for made in files:
-            path = claim(self.options["path"], self.options.get("institution", "LOCAL"), made["cell"], day)
+            path, last[made["cell"]] = claimed(self.options["path"], self.options.get("institution", "LOCAL"), made["cell"], day, last.get(made["cell"], 0) + 1)
             os.replace(made["part"], path)
             self.describe(made, path.removesuffix(".bdf.csv") + ".meta.json", path, True)
         self.sweep()
@@ -128,16 +129,19 @@ class FeedWriter(DataSourceWriter):
         self.sweep()
 
 
-def claim(folder: str, institution: str, cell: str, day: str) -> str:
-    """A new file name of this cell and day, created so that nobody else gets it; numbers run to 999."""
-    for n in range(1, 1000):
+def claimed(folder: str, institution: str, cell: str, day: str, first: int = 1) -> tuple[str, int]:
+    """A new file name of this cell and day, created so that nobody else gets it, and its number: the first free one from ``first`` on.
+
+    Numbers have three digits, beyond 999 as many as they need, so that no day is too long for its names.
+    """
+    n = first
+    while True:
         path = os.path.join(folder, f"{institution}__{cell}__{day}_{n:03d}.bdf.csv")
         try:
             os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-            return path
+            return path, n
         except FileExistsError:
-            continue
-    raise FileExistsError(f"all 999 numbers of {cell} on {day} are taken")
+            n += 1
 
 
 def sidecar(target: str, path: str, metadata: dict, columns: list[str], rows: int, started: str, finalized: bool) -> None:

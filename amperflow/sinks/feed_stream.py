@@ -155,7 +155,7 @@ class FeedStreamWriter(DataSourceStreamWriter):
         return Appended(made)
 
     def commit(self, messages: list, batchId: int) -> None:  # noqa: N803 -- Spark's name
-        from .feed import claim
+        from .feed import claimed
 
         runs, epoch = self.runs(), int(batchId)
         os.makedirs(runs.state, exist_ok=True)
@@ -182,7 +182,7 @@ class FeedStreamWriter(DataSourceStreamWriter):
                         self.describe(state[-1])
                 known = again.get(made["segment"])
                 cell = known["cell"] if known else state[-1]["cell"] if state else runs.cell(made["series_id"], made["base"])
-                path = known["path"] if known else claim(self.options["path"], self.options.get("institution", "LOCAL"), cell, day)
+                path = known["path"] if known else claimed(self.options["path"], self.options.get("institution", "LOCAL"), cell, day)[0]
                 state.append({k: made[k] for k in ("series_id", "run_id", "segment", "info", "rows")} | {"cell": cell, "path": path, "length": made["end"], "started": datetime.now(UTC).isoformat(), "open": True})
                 runs.put(me, epoch, state, before)  # before the name is used: a repeated commit finds it here
                 os.replace(made["part"], path)

@@ -9,7 +9,7 @@ from ..functions import units
 from ..schema import RESERVED, TRIO
 from ..sources.catalog import cells
 
-NAME = r"^[^_]+(?:_[^_]+)*__.+__[0-9]{8}_[0-9]{3}\.bdf\.csv$"
+NAME = r"^[^_]+(?:_[^_]+)*__.+__[0-9]{8}_(?:[0-9]{3}|[1-9][0-9]{3,})\.bdf\.csv$"
 
 
 def validate_feed(spark: SparkSession, folder: str) -> DataFrame:

@@ -100,6 +100,17 @@ def test_feed_files(spark, tmp_path):
     assert not list((tmp_path / "out").glob(".*.part"))
 
 
+def test_numbers_of_feed_files_go_beyond_999(spark, tmp_path):
+    for n in range(1, 999):
+        (tmp_path / f"LOCAL__p__20240101_{n:03d}.bdf.csv").write_text("test_time_second,voltage_volt,current_ampere\n")
+    df = spark.createDataFrame([(k, "p", str(k), k * 0.5, 3.7) for k in range(3)], "_seq long, series_id string, run_id string, test_time_second double, voltage_volt double")
+    feed.write_feed(df, str(tmp_path), day="20240101")
+    told = {p.name: json.loads(p.read_text()) for p in tmp_path.glob("*.meta.json")}
+    assert {n: m["metadata"]["segment"] for n, m in told.items()} == {f"LOCAL__p__20240101_{n}.meta.json": k for k, n in enumerate(("999", "1000", "1001"), 1)}
+    made = set(m["file"] for m in told.values())
+    assert not [r for r in validate.validate_feed(spark, str(tmp_path)).collect() if r.file in made]
+
+
 def test_parquet_and_rescue(spark, tmp_path):
     a, b = spark.createDataFrame([(1.0,)], "a double"), spark.createDataFrame([("x",)], "a string")
     assert parquet.write_parquet([a, a.withColumnRenamed("a", "b")], f"{tmp_path}/p")
