@@ -4,7 +4,7 @@ Such choices do not compose as sums. Every row gets a pointer to its successor,
 chosen after it: an as-of search by one sort. Rows are cut into blocks of their order, and within a
 block pointers are doubled until they leave it. The rows that pointers enter blocks by are doubled
 over blocks and marked from the first rows of the groups; each block is then followed from its marked
-rows. No group is one task, and rounds grow with the logarithm of the number of blocks.
+rows. Groups no larger than a block are followed at once. No other is one task, and rounds grow with the logarithm of the number of blocks.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import stored
@@ -126,8 +126,36 @@ def chosen(rows: DataFrame, gap: int) -> DataFrame:
     return left.cogroup(right).applyInArrow(_followed, "id long")
 
 
+def _scanned(keys: list[str], at: str, gap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The chosen rows of groups that come whole and in order, one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        due = 0
+        for batch in batches:
+            met = []
+            for k, (new, place) in enumerate(zip(batch.column("__new").to_pylist(), batch.column(at).to_pylist(), strict=True)):
+                if new or place >= due:
+                    met.append(k)
+                    due = place + gap
+            yield batch.take(pa.array(met, pa.int64())).select([*keys, at])
+
+    return run
+
+
 def greedy(nodes: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
-    """(keys, at) of the chosen places of ``nodes``, where ``at`` is a whole number that is not null."""
-    rows = stored(numbered(nodes, keys, at), "greedy-nodes")
+    """(keys, at) of the chosen places of ``nodes``, where ``at`` is a whole number that is not null.
+
+    Groups that are no larger than a block are read once from end to end, many in a task; only larger ones need pointers.
+    """
+    nodes = stored(nodes.select(*keys, at), "greedy-places")
+    large = nodes.groupBy(*keys).count().where(F.col("count") > 1 << BITS).drop("count")
+    large = stored(large.select(*(F.col(k).alias(f"__{i}") for i, k in enumerate(keys))), "greedy-large")  # one row for so many places
+    same = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(at)) == 1
+    small = nodes.join(large, same, "left_anti").select(*keys, at, first.alias("__new"))
+    found = small.mapInArrow(_scanned(keys, at, gap), nodes.schema)
+    if not large.limit(1).count():
+        return found
+    rows = stored(numbered(nodes.join(large, same, "left_semi"), keys, at), "greedy-nodes")
     picked = chosen(rows.select("id", "g", F.col(at).alias("at")), gap)
-    return rows.join(picked, "id", "left_semi").select(*keys, at)
+    return found.union(rows.join(picked, "id", "left_semi").select(*keys, at))

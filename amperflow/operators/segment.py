@@ -81,12 +81,14 @@ def with_aged_segments(df: DataFrame, seconds: float, time: str, rows: int | Non
     up_to = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     df = _carried(df, keys, {"__reached": F.max("__top").over(earlier)}, {"__top": F.max("__micros")})
     df = stored(df.withColumn("__clock", F.greatest(F.max("__micros").over(up_to), "__reached")).drop("__micros", "__reached"), "segment-clock")
-    at = df.where(F.col("__clock").isNotNull()).groupBy(series, "segment", "__clock").agg(F.min(seq).alias("__open"))
-    cuts = greedy(at.select(series, "segment", "__clock"), [series, "segment"], "__clock", round(seconds * 1_000_000))
-    first = at.groupBy(series, "segment").agg(F.min("__clock").alias("__began"))
-    same = lambda a, b, *on: reduce(and_, (a[c].eqNullSafe(b[c]) for c in on))
-    cuts = cuts.join(at, same(cuts, at, series, "segment", "__clock")).select(cuts[series], cuts["segment"], cuts["__clock"], "__open")
-    cuts = cuts.join(first, same(cuts, first, series, "segment")).where(F.col("__clock") > F.col("__began")).select(cuts[series].alias("__of"), F.col("__open"))
+    gap = round(seconds * 1_000_000)
+    at = stored(df.where(F.col("__clock").isNotNull()).groupBy(F.col(series).alias("__of"), F.col("segment").alias("__in"), "__clock").agg(F.min(seq).alias("__open")), "segment-clocks")
+    # A segment that never gets so old has no cut.
+    old = at.groupBy(F.col("__of").alias("__s"), F.col("__in").alias("__g")).agg(F.min("__clock").alias("__began"), F.max("__clock").alias("__ended")).where(F.col("__ended") - F.col("__began") >= gap)
+    at = stored(at.join(old, F.col("__of").eqNullSafe(F.col("__s")) & (F.col("__in") == F.col("__g"))).drop("__s", "__g", "__ended"), "segment-old")
+    cuts = greedy(at, ["__of", "__in"], "__clock", gap).select(F.col("__of").alias("__s"), F.col("__in").alias("__g"), F.col("__clock").alias("__t"))
+    cuts = at.where(F.col("__clock") > F.col("__began")).join(cuts, F.col("__of").eqNullSafe(F.col("__s")) & (F.col("__in") == F.col("__g")) & (F.col("__clock") == F.col("__t"))).select("__of", "__open")
+    cuts = stored(cuts, "segment-cuts")
     df = df.join(cuts, F.col(series).eqNullSafe(F.col("__of")) & (F.col(seq) == F.col("__open")), "left").withColumn("__aged", F.col("__open").isNotNull().cast("long"))
     turned = F.coalesce(F.sum("__n").over(Window.partitionBy(series).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     df = _carried(df, [series, "__block"], {"__before": turned}, {"__n": F.sum("__aged")})

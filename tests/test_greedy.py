@@ -135,3 +135,10 @@ def test_framing_of_a_stream(spark, tmp_path):
     for d, data in streams.items():
         got = [bytes(x.frame) for x in spark.table("framed").where(F.col("device") == d).orderBy("frame_no").collect()]
         assert got == reassemble(data)[0] and len(got) > 10
+
+
+def test_groups_of_a_block_need_no_pointers(spark, monkeypatch):
+    monkeypatch.setattr(greedy, "chosen", None)
+    df = spark.createDataFrame([(None if s == 3 else f"s{s}", p) for s in range(9) for p in range(0, 40 * s, 3)], "s string, place long").repartition(5)
+    got = sorted((str(r.s), r.place) for r in greedy.greedy(df, ["s"], "place", 10).collect())
+    assert got == sorted(("None" if s == 3 else f"s{s}", p) for s in range(9) for p in range(0, 40 * s, 12))
