@@ -154,8 +154,8 @@ def word_starts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((data[1:-1] == 32) & visible[:-2] & visible[2:]) + 1
 
 
-def encode_documents(docs: DataFrame, vocabulary_path: str, counted: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row; a null text counts as empty.
+def encode_documents(docs: DataFrame, vocabulary_path: str, counted: tuple[Accumulator, Accumulator] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row, and the columns to ``keep``; a null text counts as empty.
 
     The vocabulary is read by the driver and sent along (its size is fixed). Rows are handled
     where they are read: nothing is shuffled, and a task's memory is bounded by the cache, a slice
@@ -164,7 +164,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, counted: tuple[Accum
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *(docs.schema[c] for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
@@ -173,12 +173,12 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, counted: tuple[Accum
             for first, end, data, ends in byte_slices(batch.column("text"), SLICE):
                 n, a, b = zip(*codec.texts(data, ends), strict=True)
                 ids = batch.column("doc_id").slice(first, end - first).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=out.names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *(batch.column(c).slice(first, end - first) for c in keep)], names=out.names)
         if counted and codec:
             counted[0].add(codec.encoded)
             counted[1].add(codec.reused)
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, out)
 
 
 def encode_texts(docs: DataFrame, vocabulary_path: str) -> DataFrame:

@@ -237,13 +237,17 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
 def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose text has a letter, and a language of at least ``min_score``; same columns.
 
-    Rejected are null texts, texts without a letter, and less certain ones if a bound is set. Where
-    no language could be learned, the text alone decides.
+    Rejected are null texts, texts without a letter, and less certain ones if a bound is set. Rows
+    without a ``lang`` get the one that was found. Where no language could be learned, the text alone
+    decides, and no row gets one.
     """
     net = train_on(docs)
     kept = predict(docs.withColumnRenamed("lang_pred", "__lang_pred").withColumnRenamed("score", "__score"), net)
     certain = F.col("score") >= min_score if net.languages else F.lit(True)
-    kept = kept.where(F.col("text").rlike(r"\p{L}") & certain).drop("lang_pred", "score")
+    kept = kept.where(F.col("text").rlike(r"\p{L}") & certain)
+    if net.languages:
+        kept = kept.withColumn("lang", F.coalesce("lang", "lang_pred"))
+    kept = kept.drop("lang_pred", "score")
     return kept.withColumnRenamed("__lang_pred", "lang_pred").withColumnRenamed("__score", "score").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -17,10 +17,14 @@ from amperflow.llm.secrets import redact_secrets
 from amperflow.ship import ship
 
 
+#: A text is in a language that has more of it than all others together; where none has, it is not identified.
+MOST = 0.5
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: null texts and texts without a letter go."""
+    """Documents whose text is in one language for the most part, with that as ``lang`` where none is given: null texts, texts without a letter and mixed ones go."""
     ship(spark)
-    return keep_identified(docs)
+    return keep_identified(docs, MOST)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +46,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document's text."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document's text, and its lang."""
     ship(spark)
-    return encode_documents(docs, default_vocabulary())
+    return encode_documents(docs, default_vocabulary(), keep=("lang",))
 
 
 STAGES = [

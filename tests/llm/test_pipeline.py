@@ -50,3 +50,17 @@ def test_odd_tables(spark, rows):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, SAMPLE)
     assert docs.count() == (2 if len(rows) == 4 else 0)
+
+
+def test_the_language_found_decides_and_is_handed_on(spark):
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SAMPLE}/documents.parquet").collect()]
+    given = {r[0]: r[2] for r in rows}
+    unnamed = {r[0] for r in rows[::7]}
+    rows = [(d, t, None if d in unnamed else lang, s, n) for d, t, lang, s, n in rows]
+    mixed = (10**6, "".join(t[:400] for lang in ("de", "en", "es", "fr") for _, t, x, _, _ in [next(r for r in rows if r[2] == lang and len(r[1]) > 400)]), None, "s", 1600)
+    docs = spark.createDataFrame([*rows, mixed], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = C.written(C.language_id(spark, docs, SAMPLE), "language")
+    found = {r.doc_id: r.lang for r in kept.collect()}
+    assert mixed[0] not in found and found == {d: x for d, x in given.items() if d in found} and len(found) >= len(given) - 2
+    assert unnamed & set(found)
+    assert {r.doc_id: r.lang for r in C.bpe_encoding(spark, kept, SAMPLE).collect()} == found
