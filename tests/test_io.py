@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from amperflow.functions.redact import Scrubber
 from amperflow.operators import ledger
+from amperflow.plans import proofs
 from amperflow.sinks import feed, parquet, push, validate
 from amperflow.sources import catalog, charger, registry, simulator, tape
 from amperflow.streaming import buffer, cli, collect, config, segmenter, supervisor
@@ -100,6 +101,10 @@ def test_feed_files(spark, tmp_path):
     assert not list((tmp_path / "out").glob(".*.part"))
 
 
+def test_costly_rows_are_dealt_out(spark):
+    assert proofs.nested_metadata(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 16
+
+
 def test_numbers_of_feed_files_go_beyond_999(spark, tmp_path):
     for n in range(1, 999):
         (tmp_path / f"LOCAL__p__20240101_{n:03d}.bdf.csv").write_text("test_time_second,voltage_volt,current_ampere\n")
