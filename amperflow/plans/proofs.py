@@ -285,7 +285,7 @@ def tape_frames(spark, sf_dir):
     """A tape of frames read back, with its length in time."""
     path = scratch(spark, "tape")
     line = F.format_string('{"t": %d, "data": "%s"}', F.floor(F.col("_seq") / 50), F.md5("series_id"))
-    lines = samples(spark, sf_dir).select("_seq", line.alias("value")).repartitionByRange(1, "_seq").sortWithinPartitions("_seq").select("value")  # a tape is one file
+    lines = samples(spark, sf_dir).select("_seq", line.alias("value")).repartitionByRange("_seq").sortWithinPartitions("_seq").select("value")  # parts of the tape in order of their names
     lines.write.text(path)
     found, faults = tape.read_tape(spark, path)
     return found.crossJoin(tape.duration(found)).select("line", "t", F.lower(F.hex("data")).alias("data"), "duration_s")

@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+#: Lines that are checked together.
+BLOCK = 1 << 17
+
 
 def read_tape(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(frames, faults) of a tape: line, t, data, meta; and line, fault.
 
-    The file is read in splits; line numbers and the times reached are carried from split to split.
+    ``path`` is a file, or a folder whose files are the tape's parts by name. They are read in splits;
+    line numbers are carried from split to split, and the times reached from block to block of lines.
 
     Blank lines are skipped. A last line that is no JSON was torn off while being written and is no
     fault. Frames must not go back in time.
@@ -22,9 +26,9 @@ def read_tape(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     place = ("__file", "__block")
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
     splits = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)  # one row a split of the file
-    within = Window.partitionBy(*place).orderBy("__id")
-    first = raw.groupBy(*place).agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(splits), F.lit(0))).drop("__n")
-    text = raw.join(first, list(place)).withColumn("line", F.col("__first") + F.row_number().over(within)).where(F.trim("value") != "")
+    # A split is read by one task from end to end, so its lines have numbers without a gap, and nothing need be sorted.
+    first = raw.groupBy(*place).agg(F.count("*").alias("__n"), F.min("__id").alias("__least")).withColumn("__first", F.coalesce(F.sum("__n").over(splits), F.lit(0))).drop("__n")
+    text = raw.join(F.broadcast(first), list(place)).withColumn("line", F.col("__first") + F.col("__id") - F.col("__least") + 1).where(F.trim("value") != "")
     parsed = text.withColumn("v", F.try_parse_json("value"))
     last = parsed.agg(F.max("line").alias("last"))
     t = F.try_variant_get("v", "$.t", "double")
@@ -33,12 +37,13 @@ def read_tape(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     meta = F.try_variant_get("v", "$.meta", "variant")
     binary = F.when(data.rlike("^[0-9a-fA-F]*+$") & (F.length(data) % 2 == 0), F.unhex(data))
     df = parsed.crossJoin(F.broadcast(last)).select(  # one row
-        *place, "line", "last", F.col("v").isNull().alias("torn"), t.alias("t"), kind.alias("kind"), binary.alias("data"), meta.alias("meta"), F.schema_of_variant(meta).alias("meta_kind")
+        F.floor(F.col("line") / BLOCK).alias("__part"), "line", "last", F.col("v").isNull().alias("torn"), t.alias("t"), kind.alias("kind"), binary.alias("data"), meta.alias("meta"), F.schema_of_variant(meta).alias("meta_kind")
     )
-    # The latest time of all lines before: of the split's own, and of those of earlier splits.
-    reached = df.groupBy(*place).agg(F.max("t").alias("__t")).withColumn("__reached", F.max("__t").over(splits)).drop("__t")
-    df = df.join(reached, list(place))
-    before = F.greatest(F.max("t").over(Window.partitionBy(*place).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.col("__reached"))
+    # The latest time of all lines before: of the block's own, and of those of earlier blocks.
+    blocks = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    reached = df.groupBy("__part").agg(F.max("t").alias("__t")).withColumn("__reached", F.max("__t").over(blocks)).drop("__t")
+    df = df.join(reached, "__part")
+    before = F.greatest(F.max("t").over(Window.partitionBy("__part").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.col("__reached"))
     fault = (
         F.when(F.col("torn") & (F.col("line") == F.col("last")), None).when(F.col("torn"), "not JSON").when(F.col("t").isNull() | ~F.col("kind").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "t is no number")
         .when(F.col("t") < 0, "t is negative").when(F.col("data").isNull(), "data is no hex").when(F.col("meta_kind").isNotNull() & ~F.col("meta_kind").rlike("^(OBJECT|VOID)"), "meta is no object")

@@ -101,6 +101,26 @@ def test_feed_files(spark, tmp_path):
     assert not list((tmp_path / "out").glob(".*.part"))
 
 
+def test_a_tape_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tape, "BLOCK", 2)
+    (tmp_path / "t").mkdir()
+    for k, lines in enumerate(('{"t": 0, "data": "00"}\n{"t": 5, "data": "01"}\n\n', '{"t": 4, "data": "02"}\n', "", '{"t": 5, "data": "03"}\n{"t": 6, "data": "04"}\n{"t": 4.5, "data": "05"}\n{"t"')):
+        (tmp_path / "t" / f"part-{k:05d}.txt").write_text(lines)
+    frames, faults = tape.read_tape(spark, f"{tmp_path}/t")
+    assert [(r.line, r.t, bytes(r.data)[0]) for r in frames.orderBy("line").collect()] == [(1, 0.0, 0), (2, 5.0, 1), (5, 5.0, 3), (6, 6.0, 4)]
+    assert {r.line: r.fault for r in faults.collect()} == {4: "t goes back", 7: "t goes back"}
+
+
+def test_no_task_writes_the_whole_tape(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(proofs, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert proofs.tape_frames(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "tape").glob("part-*"))) > 1
+
+
 def test_costly_rows_are_dealt_out(spark):
     assert proofs.nested_metadata(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 16
 
